@@ -42,6 +42,10 @@ def _indel_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+# Marked so that a filter on the ratio reuses it instead of computing it a second time.
+_indel_ratio_once = _indel_ratio.asNondeterministic()
+
+
 def indel_ratio(a: Column, b: Column) -> Column:
     """0 to 100: twice the longest common subsequence over the summed lengths."""
-    return _indel_ratio(a, b)
+    return _indel_ratio_once(a, b)

@@ -63,8 +63,8 @@ def _compatibility_table() -> tuple[str, str, dict[str, str]]:
     return "".join(single_from), "".join(single_to), spelled
 
 
-def _spell_out(text: Column, table: Mapping[str, str]) -> Column:
-    """Expand letters into several; texts without any of them skip the replacements.
+def _spell_out(text: Column, table: Mapping[str, str], present: str) -> Column:
+    """Expand letters into several; texts without a match of the class ``present`` are passed on.
 
     The one-element array binds the text to a variable, so that it is computed once.
     """
@@ -76,7 +76,7 @@ def _spell_out(text: Column, table: Mapping[str, str]) -> Column:
 
     def expand(value: Column) -> Column:
         spelled = F.array_join(F.transform(F.split(value, ""), letter), "")
-        return F.when(value.rlike("[" + "".join(table) + "]"), spelled).otherwise(value)
+        return F.when(value.rlike(present), spelled).otherwise(value)
 
     return F.transform(F.array(text), expand)[0]
 
@@ -90,12 +90,12 @@ def to_ascii(text: Column) -> Column:
     """Compatibility decomposition to ascii; what has no ascii form is dropped."""
     single_from, single_to, spelled = _compatibility_table()
     folded = F.translate(strip_accents(text), single_from, single_to)
-    return F.regexp_replace(_spell_out(folded, spelled), r"[^\x00-\x7F]", "")
+    return F.regexp_replace(_spell_out(folded, spelled, "[\u00a0-\u00bf\u2000-\u218f\ufb00-\ufb06]"), r"[^\x00-\x7F]", "")
 
 
 def transliterate(text: Column) -> Column:
     """Nearest ascii spelling of Latin text; other scripts are dropped."""
-    return to_ascii(_spell_out(text, _SPELLED))
+    return to_ascii(_spell_out(text, _SPELLED, "[" + "".join(_SPELLED) + "]"))
 
 
 @functools.cache

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Sequence
 
@@ -25,7 +24,6 @@ def daily_mean(
     return days.join(means, [*keys, "day"], "left")
 
 
-@functools.lru_cache(maxsize=512)
 def _neighbours(n: int, span: int, first: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Neighbour indices, offsets and tricube weights for ``count`` positions from ``first`` on."""
     at = np.arange(first, first + count, dtype=float)
@@ -40,10 +38,15 @@ def _neighbours(n: int, span: int, first: int, count: int) -> tuple[np.ndarray,
     return index, offset, weight
 
 
-def _loess(y: np.ndarray, first: int, count: int, span: int, weights: np.ndarray | None = None) -> np.ndarray:
+def _loess(
+    y: np.ndarray, first: int, count: int, span: int, weights: np.ndarray | None, known: dict
+) -> np.ndarray:
     """Locally linear fit of an evenly spaced series at ``count`` positions from ``first`` on."""
     n = len(y)
-    index, offset, weight = _neighbours(n, span, first, count)
+    shape = (n, span, first, count)
+    if shape not in known:
+        known[shape] = _neighbours(*shape)
+    index, offset, weight = known[shape]
     if weights is not None:
         weight = weight * weights[index]
     total = weight.sum(axis=1)
@@ -71,17 +74,18 @@ def seasonal_trend(y: np.ndarray, period: int = 7, seasonal: int = 7, robust: bo
     trend_span = _odd(1.5 * period / (1 - 1.5 / seasonal))
     low_span = _odd(period + 1)
     inner, outer = (2, 15) if robust else (5, 0)
+    known: dict = {}  # neighbour geometry, the same in every pass
     trend, season, weights = np.zeros(n), np.zeros(n), np.ones(n)
     for _ in range(outer + 1):
         for _ in range(inner):
             cycle = np.empty(n + 2 * period)
             for phase in range(period):
                 part = y[phase::period] - trend[phase::period]
-                cycle[phase::period] = _loess(part, -1, len(part) + 2, seasonal, weights[phase::period])
+                cycle[phase::period] = _loess(part, -1, len(part) + 2, seasonal, weights[phase::period], known)
             low = _moving_mean(_moving_mean(_moving_mean(cycle, period), period), 3)
-            low = _loess(low, 0, n, low_span)
+            low = _loess(low, 0, n, low_span, None, known)
             season = cycle[period : period + n] - low
-            trend = _loess(y - season, 0, n, trend_span, weights)
+            trend = _loess(y - season, 0, n, trend_span, weights, known)
         residual = np.abs(y - season - trend)
         limit = 6 * np.median(residual)
         if not robust or limit == 0:
@@ -110,4 +114,6 @@ def stl_decompose(series: DataFrame, keys: Sequence[str] = ("store",), period: i
         return group.assign(trend=trend, season=season, residual=residual)
 
     rows = series.select(*keys, "day", "mean").filter("mean IS NOT NULL")
-    return rows.groupBy(*keys).applyInPandas(decompose, schema)
+    # The fit is all computation: a fixed partition count keeps the small series from being merged into one task.
+    tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, *keys).groupBy(*keys).applyInPandas(decompose, schema)

@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from vitrina.functions import dates, money
-from vitrina.operators import density, lookup, profile, quality, quantiles, series, stats
+from vitrina.operators import density, lookup, matching, profile, quality, quantiles, series, stats
 from vitrina.plans.bindings import BRANDS_SQL, FILLED_SQL, OFFERS_SQL, brand_kinds, filled_offers, offers, table
 from vitrina.plans.registry import query
 
@@ -15,10 +15,13 @@ PRICES = money.PRICES
 OFFER_COLUMNS = ("offer_id", "captured_on", "store", "category", "url", "name", "brand", "rating", *PRICES)
 _VALID_SQL = " AND ".join(f"{c} IS NOT NULL" for c in OFFER_COLUMNS)
 _PRICES_SQL = ", ".join(f"round({c}, 6) AS {c}" for c in PRICES)
-_DAY = F.date_format("captured_on", "yyyy-MM-dd").alias("captured_on")
 _DAY_SQL = "strftime(captured_on, '%Y-%m-%d') AS captured_on"
 
 
+def _day():
+    return F.date_format("captured_on", "yyyy-MM-dd").alias("captured_on")
+
+
 def _prices(columns=PRICES, digits=6):
     return [F.round(c, digits).alias(c) for c in columns]
 
@@ -55,12 +58,12 @@ def _(spark, sf_dir):
 SELECT offer_id, {_DAY_SQL} FROM offers WHERE (year(captured_on) = 2000 OR (month(captured_on) = 12 AND day(captured_on) > 14))
 AND (list_price > 50000 OR store_price > 50000 OR partner_price > 50000 OR other_price > 50000)""")
 def _(spark, sf_dir):
-    return quality.select_campaign_rows(offers(spark, sf_dir), year=2000, above=50_000).select("offer_id", _DAY)
+    return quality.select_campaign_rows(offers(spark, sf_dir), year=2000, above=50_000).select("offer_id", _day())
 
 
 @query("filter_since", f"WITH {OFFERS_SQL} SELECT offer_id, {_DAY_SQL} FROM offers WHERE captured_on >= DATE '2000-01-01'")
 def _(spark, sf_dir):
-    return quality.filter_since(offers(spark, sf_dir), datetime.date(2000, 1, 1)).select("offer_id", _DAY)
+    return quality.filter_since(offers(spark, sf_dir), datetime.date(2000, 1, 1)).select("offer_id", _day())
 
 
 @query("filter_equal", f"WITH {OFFERS_SQL} SELECT offer_id, store FROM offers WHERE category = 'ECONOMY'")
@@ -144,9 +147,8 @@ def _(spark, sf_dir):
 SELECT p_partkey, coalesce(g, -1) AS group_id FROM part LEFT JOIN
   (SELECT p_name AS name, CAST(dense_rank() OVER (ORDER BY p_name) - 1 AS BIGINT) AS g FROM (SELECT DISTINCT p_name FROM part WHERE p_size = 9)) ON p_name = name""")
 def _(spark, sf_dir):
-    from vitrina.operators.matching import number_rows
     part = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.col("p_name").alias("name"))
-    groups = number_rows(part.filter("p_size = 9").select("name").distinct(), ["name"], "group_id")
+    groups = matching.number_rows(part.filter("p_size = 9").select("name").distinct(), ["name"], "group_id")
     return lookup.lookup_map(part, groups, "name", "group_id", -1).select("p_partkey", "group_id")
 
 
@@ -170,12 +172,12 @@ def _(spark, sf_dir):
 
 @query("count_by_day_store", f"WITH {OFFERS_SQL} SELECT {_DAY_SQL}, store, count(*) AS n FROM offers GROUP BY ALL")
 def _(spark, sf_dir):
-    return stats.count_by(offers(spark, sf_dir), ["captured_on", "store"]).select(_DAY, "store", "n")
+    return stats.count_by(offers(spark, sf_dir), ["captured_on", "store"]).select(_day(), "store", "n")
 
 
 @query("count_by_day_store_name", f"WITH {OFFERS_SQL} SELECT {_DAY_SQL}, store, name, count(*) AS n FROM offers GROUP BY ALL")
 def _(spark, sf_dir):
-    return stats.count_by(offers(spark, sf_dir), ["captured_on", "store", "name"]).select(_DAY, "store", "name", "n")
+    return stats.count_by(offers(spark, sf_dir), ["captured_on", "store", "name"]).select(_day(), "store", "name", "n")
 
 
 @query("impute_group_mean", f"""WITH {OFFERS_SQL}
@@ -261,14 +263,14 @@ SELECT category, store, {_DAY_SQL}, round(avg(min_list_price), 4) AS mean, count
 FROM offers JOIN lowest USING (name) GROUP BY category, store, captured_on""")
 def _(spark, sf_dir):
     lines = stats.mean_line(stats.min_over_name(offers(spark, sf_dir), ["list_price"]), "min_list_price")
-    return lines.select("category", "store", _DAY, F.round("mean", 4).alias("mean"), "n", F.round("deviation", 3).alias("deviation"))
+    return lines.select("category", "store", _day(), F.round("mean", 4).alias("mean"), "n", F.round("deviation", 3).alias("deviation"))
 
 
 @query("mean_line_gap", f"""WITH {FILLED_SQL}
 SELECT category, store, {_DAY_SQL}, round(avg((list_price - store_price) / store_price), 6) AS mean, count(*) AS n FROM filled GROUP BY ALL""")
 def _(spark, sf_dir):
     gaps = filled_offers(spark, sf_dir).withColumn("gap", money.pct_gap(F.col("list_price"), F.col("store_price")))
-    return stats.mean_line(gaps, "gap").select("category", "store", _DAY, F.round("mean", 6).alias("mean"), "n")
+    return stats.mean_line(gaps, "gap").select("category", "store", _day(), F.round("mean", 6).alias("mean"), "n")
 
 
 @query("mean_line_ci")
@@ -446,7 +448,7 @@ def _(spark, sf_dir):
     filled = filled_offers(spark, sf_dir)
     names = stats.first_names_per_category(quality.filter_price_band(filled, 30_000, 60_000))
     cents = filled.withColumns({p: F.floor(F.col(p) * 100 + 0.5).cast("double") for p in PRICES})
-    return stats.price_history(cents, names).select("name", "price_type", _DAY, F.col("mean_price").alias("mean_cents"))
+    return stats.price_history(cents, names).select("name", "price_type", _day(), F.col("mean_price").alias("mean_cents"))
 
 
 # --- windows, order, limits ------------------------------------------------------------------------
