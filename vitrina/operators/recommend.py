@@ -110,10 +110,14 @@ def truncated_svd(docs: DataFrame, components: int = 50, stop: Sequence[str] | N
     idf = IDF(inputCol="_counts", outputCol="_unused").fit(counts).idf
     weighed = ElementwiseProduct(scalingVec=Vectors.dense(idf.toArray() + 1.0), inputCol="_counts", outputCol="_weights").transform(counts)
     rows = Normalizer(p=2.0, inputCol="_weights", outputCol="vector").transform(weighed).select(F.col("id").cast("long").alias("index"), "vector")
-    svd = IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(rows, "vector")).computeSVD(components, computeU=True)
+    # The decomposition passes over the rows once per iteration.
+    rows = MLUtils.convertVectorColumnsFromML(cut_lineage(rows), "vector").persist()
+    svd = IndexedRowMatrix(rows).computeSVD(components, computeU=True)
     scale = svd.s.toArray()
     found = svd.U.rows.map(lambda row: (row.index, (row.vector.toArray() * scale).tolist()))
-    return docs.sparkSession.createDataFrame(found, "id long, reduced array<double>")
+    reduced = cut_lineage(docs.sparkSession.createDataFrame(found, "id long, reduced array<double>"))
+    rows.unpersist()
+    return reduced
 
 
 def cluster_features(products: DataFrame, components: int = 50, clusters: int = 5, seed: int = 42, stop: Sequence[str] | None = None) -> DataFrame:

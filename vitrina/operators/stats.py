@@ -22,9 +22,9 @@ def impute_group_mean(df: DataFrame, value: str = "rating", group: str = "catego
 
 
 def _global(df: DataFrame, **measures: Column) -> dict[str, Column]:
-    """Whole-table measures as one scalar subquery."""
-    row = df.agg(F.struct(*[m.alias(k) for k, m in measures.items()]).alias("_row")).scalar()
-    return {k: row.getField(k) for k in measures}
+    """Whole-table measures, computed once: one row of numbers that enters the plan as literals."""
+    row = df.agg(*[m.cast("double").alias(k) for k, m in measures.items()]).first()
+    return {k: F.lit(row[k]).cast("double") for k in measures}
 
 
 def impute_column_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:

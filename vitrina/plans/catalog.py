@@ -5,5 +5,6 @@ from vitrina.plans import (  # noqa: F401
     model_queries,
     price_queries,
     scalar_queries,
+    source_queries,
 )
 from vitrina.plans.registry import ORACLES, QUERIES  # noqa: F401

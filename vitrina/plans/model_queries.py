@@ -108,13 +108,13 @@ def _(spark, sf_dir):
 
 @query("find_query", f"""WITH {_PRODUCTS_SQL},
 asked AS (SELECT DISTINCT 'u/' || source || '/' || CASE WHEN n_chars % 2 = 0 THEN lang ELSE 'xx' END AS url FROM documents)
-SELECT a.url, min(p.id) AS query FROM asked a LEFT JOIN products p ON p.url = a.url GROUP BY a.url""")
+SELECT a.url, coalesce(min(p.id), -1) AS query FROM asked a LEFT JOIN products p ON p.url = a.url GROUP BY a.url""")
 def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     lang = F.when(F.col("n_chars") % 2 == 0, F.col("lang")).otherwise("xx")
     urls = docs.select(F.concat(F.lit("u/"), "source", F.lit("/"), lang).alias("url"))
     found, unknown = recommend.find_query(products(spark, sf_dir), urls)
-    return found.unionByName(unknown, allowMissingColumns=True)
+    return found.unionByName(unknown, allowMissingColumns=True).na.fill({"query": -1})
 
 
 @query("relevant_set", f"""WITH {_PRODUCTS_SQL}, queries AS (SELECT doc_id AS query FROM documents ORDER BY md5('42-' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 100)
