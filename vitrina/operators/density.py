@@ -5,9 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from vitrina.operators.lookup import attach
+from vitrina.session import cut_lineage, written
 
 # Beyond this many bandwidths a Gaussian kernel adds less than 1e-17 of its peak.
 KERNEL_REACH = 9.0
@@ -20,26 +21,26 @@ def kde(df: DataFrame, value: str, groups: Sequence[str], points: int = 200, cut
     the sums are combined in each task before the shuffle.
     """
     groups = list(groups)
-    values = df.filter(F.col(value).isNotNull()).groupBy(*groups, F.col(value).cast("double").alias("_v")).agg(
-        F.count(F.lit(1)).alias("_n"))
-    stats = df.filter(F.col(value).isNotNull()).groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("_size"), F.stddev_samp(value).alias("_dev"),
-        F.min(value).cast("double").alias("_min"), F.max(value).cast("double").alias("_max"),
+    rows = written(df.filter(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v")))
+    values = rows.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    stats = rows.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("_size"), F.stddev_samp("_v").alias("_dev"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
     ).filter("_dev > 0")
     width = F.col("_dev") * F.pow(F.col("_size"), F.lit(-0.2))
-    stats = stats.select(
+    stats = cut_lineage(stats.select(
         *groups, "_size", width.alias("_width"), (F.col("_min") - cut * width).alias("_start"),
-        ((F.col("_max") - F.col("_min") + 2 * cut * width) / (points - 1)).alias("_step"))
+        ((F.col("_max") - F.col("_min") + 2 * cut * width) / (points - 1)).alias("_step")))
     reach = F.ceil(KERNEL_REACH * F.col("_width") / F.col("_step"))
     here = F.floor((F.col("_v") - F.col("_start")) / F.col("_step"))
     span = F.sequence(F.greatest(here - reach, F.lit(0)), F.least(here + 1 + reach, F.lit(points - 1)))
     cells = attach(values, stats, groups, how="inner").withColumn("grid_point", F.explode(span))
     at = F.col("_start") + F.col("grid_point") * F.col("_step")
-    kernel = F.exp(-0.5 * F.pow((at - F.col("_v")) / F.col("_width"), 2)) * F.col("_n")
+    away = (at - F.col("_v")) / F.col("_width")
+    kernel = F.exp(-0.5 * away * away) * F.col("_n")
     scale = F.col("_size") * F.col("_width") * math.sqrt(2 * math.pi)
-    sums = cells.groupBy(*groups, "grid_point", "_start", "_step", "_size", "_width").agg(F.sum(kernel).alias("_sum"))
+    sums = cells.groupBy(*groups, "grid_point").agg(F.sum(kernel).alias("_sum"))
     grid = stats.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("grid_point"))
-    filled = grid.join(sums.select(*groups, "grid_point", "_sum"), [*groups, "grid_point"], "left")
+    filled = grid.join(sums, [*groups, "grid_point"], "left")
     return filled.select(
         *groups, F.col("grid_point").cast("long").alias("grid_point"), at.alias("x"),
         (F.coalesce("_sum", F.lit(0.0)) / scale).alias("density"))

@@ -75,13 +75,12 @@ def similar_pairs(
     a = name(left, "a").repartition(tasks).withColumn("_key", F.explode("a__keys"))
     b = name(right, "b").withColumn("_key", F.explode("b__keys"))
     total = F.length("a_text") + F.length("b_text")
-    condition = (
-        (F.col("a_item") < F.col("b_item"))
-        & (2 * F.least(F.length("a_text"), F.length("b_text")) >= t * total - 1e-9)
-        & (F.array_min(F.array_intersect("a__keys", "b__keys")) == F.col("_key"))
-    )
+    # Cheap tests first: order, price, lengths; then whether this is the first key the two share.
+    condition = F.col("a_item") < F.col("b_item")
     if max_gap is not None:
         condition = condition & (F.abs(F.col("a_price") - F.col("b_price")) <= max_gap)
+    condition = condition & (2 * F.least(F.length("a_text"), F.length("b_text")) >= t * total - 1e-9)
+    condition = condition & (F.array_min(F.array_intersect("a__keys", "b__keys")) == F.col("_key"))
     # The edit distance is the dearest test and comes last.
     edits = F.expr(f"levenshtein(a_text, b_text, cast(floor({1 - t} * (length(a_text) + length(b_text)) + 1e-9) as int))")
     close = a.join(b, "_key").filter(condition & (edits >= 0)).select("a_item", "b_item", "a_text", "b_text")

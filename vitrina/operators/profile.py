@@ -8,11 +8,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from vitrina.operators.quantiles import exact_quantiles
+from vitrina.session import written
 
 
 def profile_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per column: counts, spread, quartiles and moments."""
-    rows = df.select([F.col(c).cast("double").alias(c) for c in columns])
+    rows = written(df.select([F.col(c).cast("double").alias(c) for c in columns]))
     long = rows.unpivot([], list(columns), "column", "_v")
     value = F.col("_v")
     base = long.groupBy("column").agg(

@@ -13,6 +13,7 @@ from vitrina.functions.money import PRICES
 from vitrina.operators.lookup import split_by
 from vitrina.operators.quantiles import approximate_quantiles, exact_quantiles
 from vitrina.schemas import RAW_OFFER_COLUMNS
+from vitrina.session import written
 
 
 def non_null_count(columns: Sequence[str]) -> Column:
@@ -86,12 +87,14 @@ def trim_outliers(
 ) -> DataFrame:
     """Keep rows within two quantiles, column after column: each bound comes from the rows left so far."""
     quantiles = approximate_quantiles if approx else exact_quantiles
+    left, within = written(df.select(*columns)), F.lit(True)
     for column in columns:
-        bounds = {row["prob"]: row["quantile"] for row in quantiles(df, column, (lower, upper)).collect()}
+        bounds = {row["prob"]: row["quantile"] for row in quantiles(left, column, (lower, upper)).collect()}
         if not bounds:
             return df.limit(0)
-        df = df.filter(F.col(column).between(bounds[lower], bounds[upper]))
-    return df
+        step = F.col(column).between(bounds[lower], bounds[upper])
+        left, within = left.filter(step), within & step
+    return df.filter(within)
 
 
 def drop_top_n(df: DataFrame, price: str = "list_price", ties: Sequence[str] = ("offer_id",), n: int = 3) -> DataFrame:

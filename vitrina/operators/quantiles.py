@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vitrina.operators.lookup import attach
+from vitrina.session import written
 
 # Rank error of the mergeable sketch: 1 / ACCURACY of the group size.
 ACCURACY = 10_000
@@ -75,7 +76,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: S
 def box_stats(df: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:
     """Quartiles, whiskers at the last points within 1.5 interquartile ranges, and outlier count."""
     groups = list(groups)
-    rows = df.select(*groups, F.col(value).alias("_v")).filter("_v IS NOT NULL")
+    rows = written(df.select(*groups, F.col(value).alias("_v")).filter("_v IS NOT NULL"))
     at = lambda p: F.max(F.when(F.col("prob") == p, F.col("quantile")))
     quartiles = exact_quantiles(rows, "_v", (0.25, 0.5, 0.75), groups).groupBy(*groups).agg(
         at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"))

@@ -62,8 +62,8 @@ def recommend_text(docs: DataFrame, queries: DataFrame, k: int = 5, stop: Sequen
     """``(query, id, score, position)``: the k best by text, documents without a shared term filling up by id."""
     scored = top_k_by_score(text_scores(tfidf(docs, stop), queries), "query", "score", ["id"], k).drop("position")
     # At most k scored documents and the query itself can stand among the first 2k + 1 ids.
-    first = docs.select("id").distinct().orderBy("id").limit(2 * k + 1)
-    filler = queries.select("query", F.lit(1).alias("_all")).join(first.withColumn("_all", F.lit(1)), "_all").filter("id <> query")
+    first = docs.select("id").distinct().orderBy("id").limit(2 * k + 1).agg(F.collect_list("id").alias("_first")).scalar()
+    filler = queries.select("query", F.explode(first).alias("id")).filter("id <> query")
     filler = filler.join(scored.select("query", "id"), ["query", "id"], "left_anti").select("query", "id", F.lit(0.0).alias("score"))
     return top_k_by_score(scored.select("query", "id", "score").unionByName(filler), "query", "score", ["id"], k)
 

@@ -269,7 +269,7 @@ def _(spark, sf_dir):
 @query("topic_words")
 def _(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    vectors, vocabulary = topics._vectors(docs, topics.count_vectors(docs))
+    vectors, vocabulary = topics.document_vectors(docs)
     _, model = topics.lda_topics(cut_lineage(vectors), k=10, iterations=10)
     return topics.topic_words(model, vocabulary)
 
@@ -277,7 +277,7 @@ def _(spark, sf_dir):
 @query("lda_topics")
 def _(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    vectors, _ = topics._vectors(docs, topics.count_vectors(docs))
+    vectors, _ = topics.document_vectors(docs)
     return topics.lda_topics(cut_lineage(vectors), k=10, iterations=10)[0]
 
 

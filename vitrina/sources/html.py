@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from vitrina.functions.text import strip_review_marks
 from vitrina.schemas import MISSING_FIELD, NO_COMMENT, NO_SCORE, RAW_OFFER_COLUMNS, STATUS_PROPERTY, UNAVAILABLE
@@ -68,38 +68,58 @@ class _Tree(HTMLParser):
         self.open.parts.append(data)
 
 
-def _fits(node: Node, compound: str) -> bool:
-    for kind, name, attr, value in _SIMPLE.findall(compound):
-        if attr:
-            if attr not in node.attrs or (value and node.attrs[attr] != value):
-                return False
-        elif kind == "#":
-            if node.attrs.get("id") != name:
-                return False
-        elif kind == ".":
-            if name not in node.attrs.get("class", "").split():
-                return False
-        elif node.tag != name:
-            return False
-    return True
+@dataclass(frozen=True)
+class _Step:
+    """One compound of a selector, and whether it must be the direct child of the one before."""
 
+    tag: str | None
+    ids: tuple[str, ...]
+    classes: tuple[str, ...]
+    attrs: tuple[tuple[str, str], ...]
+    child: bool
 
-def select(root: Node, selector: str) -> Iterator[Node]:
-    """Nodes below ``root`` for tags, ``#id``, ``.class``, ``[attr=value]``, blanks and ``>``."""
-    steps = selector.replace(">", " > ").split()
+    def fits(self, node: Node) -> bool:
+        if self.tag and node.tag != self.tag:
+            return False
+        if any(node.attrs.get("id") != i for i in self.ids):
+            return False
+        if self.classes and not set(self.classes) <= set(node.attrs.get("class", "").split()):
+            return False
+        return all(k in node.attrs and (not v or node.attrs[k] == v) for k, v in self.attrs)
+
+
+def _compile(selector: str, known: dict) -> list[_Step]:
+    """Steps of a selector of tags, ``#id``, ``.class``, ``[attr=value]``, blanks and ``>``."""
+    if selector not in known:
+        steps, child = [], False
+        for word in selector.replace(">", " > ").split():
+            if word == ">":
+                child = True
+                continue
+            parts = _SIMPLE.findall(word)
+            steps.append(_Step(
+                next((name for kind, name, attr, _ in parts if name and not kind), None),
+                tuple(name for kind, name, _, _ in parts if kind == "#"), tuple(name for kind, name, _, _ in parts if kind == "."),
+                tuple((attr, value) for _, _, attr, value in parts if attr), child))
+            child = False
+        known[selector] = steps
+    return known[selector]
+
+
+def select(root: Node, selector: str, known: dict | None = None) -> Iterator[Node]:
+    """Nodes below ``root`` that the selector names, in page order."""
+    steps = _compile(selector, {} if known is None else known)
 
     def reaches(node: Node, last: int) -> bool:
-        if not _fits(node, steps[last]):
+        if not steps[last].fits(node):
             return False
         if last == 0:
             return True
-        child_only = steps[last - 1] == ">"
-        target = last - 2 if child_only else last - 1
         above = node.parent
         while above is not None and above is not root.parent:
-            if reaches(above, target):
+            if reaches(above, last - 1):
                 return True
-            if child_only:
+            if steps[last].child:
                 return False
             above = above.parent
         return False
@@ -107,10 +127,10 @@ def select(root: Node, selector: str) -> Iterator[Node]:
     return (node for node in root.walk() if reaches(node, len(steps) - 1))
 
 
-def _read(root: Node, selector: str, pieces: bool) -> str | None:
+def _read(root: Node, selector: str, pieces: bool, known: dict) -> str | None:
     """Text, or with ``selector@name`` an attribute, of the first match."""
     path, _, attr = selector.partition("@")
-    node = next(select(root, path), None)
+    node = next(select(root, path, known), None)
     if node is None:
         return None
     if attr:
@@ -165,12 +185,12 @@ REVIEW_RULES = {
 UNAVAILABLE_PHRASES = ("página no existe", "Publicación pausada")
 
 
-def _rows(html: str, rules: RuleSet) -> tuple[dict, list[dict]]:
+def _rows(html: str, rules: RuleSet, known: dict) -> tuple[dict, list[dict]]:
     root = _Tree(html).root
-    page = {name: _read(root, selector, rules.pieces) for name, selector in rules.page_fields}
+    page = {name: _read(root, selector, rules.pieces, known) for name, selector in rules.page_fields}
     rows = []
-    for node in select(root, rules.container):
-        found = {name: _read(node, selector, rules.pieces) for name, selector in rules.fields}
+    for node in select(root, rules.container, known):
+        found = {name: _read(node, selector, rules.pieces, known) for name, selector in rules.fields}
         if None in found.values():
             if rules.on_missing in ("stop", "row"):
                 found = dict.fromkeys(found, rules.sentinel)
@@ -193,11 +213,12 @@ def extract_html(pages: DataFrame, rules: dict[str, RuleSet], keys: Sequence[str
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != html)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict = {}  # compiled selectors
         for batch in batches:
             out = []
             for name, page in zip(batch[layout], batch[html]):
                 try:
-                    found, rows = _rows(page, rules[name])
+                    found, rows = _rows(page, rules[name], known)
                     out.append((rows, found, None))
                 except Exception as problem:
                     out.append(([], {}, f"{type(problem).__name__}: {problem}"))
