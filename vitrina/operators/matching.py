@@ -11,8 +11,8 @@ from vitrina.functions.similarity import indel_ratio
 from vitrina.operators.lookup import attach
 from vitrina.session import cut_lineage
 
-# Leaders are looked for among the first undecided items, BLOCK of them at first, four times as many
-# in each further round, unless that many would meet in more than PAIR_BUDGET candidate pairs.
+# Leaders are looked for among the undecided of the next BLOCK items at first and of four times as many
+# in each further round, unless these would meet in more than PAIR_BUDGET candidate pairs.
 BLOCK = 4096
 BLOCK_GROWTH = 4
 PAIR_BUDGET = 200_000_000
@@ -21,8 +21,15 @@ Pairs = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 def _lost_bigrams(length: Column, t: float) -> Column:
-    """Most bigrams a text can lose on the way to any partner that is at least ``t`` similar."""
-    return F.floor(length * (4 - 4 * t) / (2 - t) + 1e-9)
+    """Most bigrams a text can lose on the way to any partner that is at least ``t`` similar.
+
+    With lengths l and m at least t(l + m) / 2 letters stay. Each of the others lost takes two bigrams
+    along and each letter put in between breaks one: at most l(2 - 1.5t) + m(1 - 1.5t), which is
+    greatest at the shortest or the longest partner, tl / (2 - t) or l(2 - t) / t.
+    """
+    shortest, longest = t / (2 - t), (2 - t) / t
+    share = 2 - 1.5 * t + max(shortest * (1 - 1.5 * t), longest * (1 - 1.5 * t))
+    return F.floor(length * share + 1e-9)
 
 
 def _lost_letters(length: Column, t: float) -> Column:
@@ -121,27 +128,27 @@ def find_leaders(keyed: DataFrame, pairs: Pairs, block: int = BLOCK) -> DataFram
     Leaders are found block by block, and each block's leaders remove what they claim from all later
     items at once. A crowd of like items therefore costs one comparison each, not one per pair.
     """
-    undecided = keyed
-    found: list[DataFrame] = []
-    size = block
-    while True:
-        part = cut_lineage(undecided.orderBy("item").limit(size))
+    total, start, size, found = keyed.count(), 0, block, []
+    if total > block:
+        undecided = cut_lineage(number_rows(keyed, ["item"], "_position"))
+    else:
+        undecided = keyed.withColumn("_position", F.lit(0))  # one block holds them all
+    while start < total:
+        part = undecided.filter(F.col("_position") < start + size)
         if size > block and _candidate_pairs(part) > PAIR_BUDGET:
-            size = max(block, size // BLOCK_GROWTH)
-            part = cut_lineage(undecided.orderBy("item").limit(size))
-        bounds = part.agg(F.count(F.lit(1)).alias("n"), F.max("item").alias("last")).first()
-        if not bounds["n"]:
-            break
-        edges = cut_lineage(pairs(part, part))
-        leaders = cut_lineage(part.join(_claimed_in_block(edges), "item", "left_anti"))
+            size = max(block, size // BLOCK_GROWTH**2)
+            continue
+        part = cut_lineage(part)
+        leaders = cut_lineage(part.join(_claimed_in_block(cut_lineage(pairs(part, part))), "item", "left_anti"))
         found.append(leaders)
-        if bounds["n"] < size:
-            break
-        rest = undecided.filter(F.col("item") > bounds["last"])
-        claimed = pairs(leaders, rest).select(F.col("b").alias("item")).distinct()
-        undecided = cut_lineage(rest.join(claimed, "item", "left_anti"))
+        start += size
+        if start < total:
+            rest = undecided.filter(F.col("_position") >= start)
+            claimed = pairs(leaders, rest).select(F.col("b").alias("item")).distinct()
+            undecided = cut_lineage(rest.join(claimed, "item", "left_anti"))
         size *= BLOCK_GROWTH
-    return reduce(DataFrame.union, found) if found else undecided.limit(0)
+    leaders = reduce(DataFrame.union, found) if found else undecided.limit(0)
+    return leaders.drop("_position")
 
 
 def greedy_groups(keyed: DataFrame, pairs: Pairs, assign: str = "first", block: int = BLOCK) -> DataFrame:

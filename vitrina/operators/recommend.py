@@ -60,7 +60,7 @@ def text_scores(weights: DataFrame, queries: DataFrame) -> DataFrame:
 
 def recommend_text(docs: DataFrame, queries: DataFrame, k: int = 5, stop: Sequence[str] | None = None) -> DataFrame:
     """``(query, id, score, position)``: the k best by text, documents without a shared term filling up by id."""
-    scored = top_k_by_score(text_scores(tfidf(docs, stop), queries), "query", "score", ["id"], k).drop("position")
+    scored = cut_lineage(top_k_by_score(text_scores(tfidf(docs, stop), queries), "query", "score", ["id"], k).drop("position"))
     # At most k scored documents and the query itself can stand among the first 2k + 1 ids.
     first = docs.select("id").distinct().orderBy("id").limit(2 * k + 1).agg(F.collect_list("id").alias("_first")).scalar()
     filler = queries.select("query", F.explode(first).alias("id")).filter("id <> query")
