@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vitrina.llm import simhash
+from vitrina.llm import simhash, token_files
+from vitrina.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +34,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"))
+
+
+@query("op8_rans")
+def op8_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "token-files")
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    table = token_files.write(_table(spark, sf_dir, "documents"), folder, tokenizer, end_id=2)
+    return token_files.read(spark, folder, table)
