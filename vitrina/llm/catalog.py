@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vitrina.llm import mixing, packing, simhash, token_files
+from vitrina.llm import chat, mixing, packing, reputation, simhash, token_files
 from vitrina.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,25 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_pareto_mix")
 def op4_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+@query("op3_reply_trees")
+def op3_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_trees(chat.conversation_tree(rows.unionByName(planted))))
+
+
+RULES = (
+    reputation.Rule("com", "/", "allow"), reputation.Rule("example.com", "/en/", "block"),
+    reputation.Rule("www.example.com", "/en/", "allow"), reputation.Rule("net", "/es/", "block"), reputation.Rule("net", "/fr/", "block"))
+
+
+@query("op6_host_reputation")
+def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test tables label documents by number; the page of that number takes the label. Bad: toxic, or of low quality."""
+    labels = _table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("page_id")).agg(
+        F.max(((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int")).alias("bad"))
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url").join(labels, "page_id", "left")
+    return reputation.judge(pages, RULES)
