@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vitrina.llm import chat, mixing, packing, reputation, simhash, token_files
+from vitrina.llm import chat, mixing, packing, reputation, simhash, token_files, toxicity
 from vitrina.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,8 @@ def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max(((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int")).alias("bad"))
     pages = _table(spark, sf_dir, "pages").select("page_id", "url").join(labels, "page_id", "left")
     return reputation.judge(pages, RULES)
+
+
+@query("op1_kneser_ney")
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
