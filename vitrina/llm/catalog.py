@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vitrina.llm import chat, mixing, packing, reputation, simhash, token_files, toxicity
+from vitrina.llm import chat, mixing, packing, reputation, rptree, simhash, token_files, toxicity
 from vitrina.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,8 @@ def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_kneser_ney")
 def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@query("op10_rp_forest")
+def op10_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rptree.near_duplicates(_table(spark, sf_dir, "embeddings"))
