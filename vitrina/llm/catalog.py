@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vitrina.llm import chat, mixing, packing, reputation, rptree, simhash, token_files, toxicity
+from vitrina.llm import chat, mixing, mtree, packing, reputation, rptree, simhash, token_files, toxicity
 from vitrina.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,14 @@ def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_rp_forest")
 def op10_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rptree.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_m_tree", """
+WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings
+           WHERE len(embedding) > 0 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum([p[1] * p[2] for p in list_zip(a.v, b.v)]) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5""")
+def op9_m_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(_table(spark, sf_dir, "embeddings"), every=50, k=5)
