@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vitrina.llm import chat, mixing, mtree, packing, reputation, rptree, simhash, token_files, toxicity
+from vitrina.llm import chat, mixing, mtree, packing, reputation, rptree, simhash, token_files, toxicity, warc
 from vitrina.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,14 @@ SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5""")
 def op9_m_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(_table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+@query("op2_warc_derivatives")
+def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages have no capture date, so all get one."""
+    made = warc.derive(warc.responses(_table(spark, sf_dir, "pages"), date="2000-01-01T00:00:00Z"))
+    field = lambda name: warc.header_of(F.col("record"), name)
+    return made.select(
+        F.col("key").alias("page_id"), "warc_type", "record_id", field("WARC-Refers-To").alias("refers_to"),
+        field("WARC-Target-URI").alias("target_uri"), field("WARC-Block-Digest").alias("block_digest"),
+        field("Content-Length").cast("long").alias("content_length"), F.sha2("record", 256).alias("record_sha256"))
