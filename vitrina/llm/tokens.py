@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from vitrina.llm.base import small_batches
 
-# Chunks a worker remembers before it starts afresh; bounds its memory, not the result.
-CACHE_CHUNKS = 1 << 19
+# Chunks in a generation of a worker's memory; bounds its size, not the result.
+CACHE_CHUNKS = 1 << 17
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -41,8 +42,12 @@ def _byte_letters() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
 
 
+class OddText(Exception):
+    """The text has a chunk that must not be encoded apart from its neighbours."""
+
+
 class Encoder(dict):
-    """Ids of texts; as a dict, the ids of chunks as little-endian bytes."""
+    """Ids of texts; as a dict, the ids of recent chunks as little-endian bytes, with an older generation behind it."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -50,22 +55,38 @@ class Encoder(dict):
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4")
         self.kind = _kind(json.loads(self.tokenizer.to_str()))
         self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.older: dict[str | bytes, bytes] = {}
 
-    def __missing__(self, chunk: str) -> bytes:
-        if _PLAIN.fullmatch(chunk):
-            text = chunk.lower() if self.kind == "word" else chunk
-            ids = []
-            for piece in _KINDS[self.kind].findall(text):
-                letters = piece.encode().decode("latin-1").translate(self.letters)
-                ids += [t.id for t in self.model.tokenize(letters)]
-            found = np.array(ids, self.dtype).tobytes()
-        else:
-            found = self.whole(chunk)
+    def __missing__(self, chunk: str | bytes) -> bytes:
+        found = self.older.get(chunk)
+        if found is None:
+            found = self.fresh(chunk)
         if len(self) >= CACHE_CHUNKS:
+            self.older = dict(self)
             self.clear()
         self[chunk] = found
         return found
 
+    def fresh(self, key: str | bytes) -> bytes:
+        chunk = key.decode() if self.kind == "word" else key
+        if "<|" in chunk:
+            raise OddText
+        if chunk[-1] in ".,;:!?" and chunk[-2:-1] < "\u0100" and chunk[-2:-1].isalpha():
+            return self[key[:-1]] + self[key[-1:]]  # a single mark after a letter is always a piece of its own
+        shown = chunk.isascii() and chunk.isprintable()
+        if not shown and self.kind == "byte" and _ODD.search(chunk):
+            raise OddText
+        if not shown and not _PLAIN.fullmatch(chunk):
+            return self.whole(chunk)
+        text = chunk.lower() if self.kind == "word" else chunk
+        pieces = [text] if text.isalpha() or text[:1] == " " and text[1:].isalpha() else _KINDS[self.kind].findall(text)
+        if shown:
+            letters = [p.replace(" ", "\u0120") for p in pieces]
+        else:
+            letters = [p.encode().decode("latin-1").translate(self.letters) for p in pieces]
+        ids = [t.id for p in letters for t in self.model.tokenize(p)]
+        return array("H" if self.dtype.itemsize == 2 else "I", ids).tobytes()
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
@@ -73,10 +94,14 @@ class Encoder(dict):
         """Ids of the text as little-endian integers of ``dtype``; none for null."""
         if not text:
             return b""
-        if self.kind is None or _ODD.search(text):
+        if self.kind is None:
+            return self.whole(text)
+        # bytes split at the six ASCII blanks only
+        chunks = text.encode().split() if self.kind == "word" else _CHUNK.findall(text)
+        try:
+            return b"".join(map(self.__getitem__, chunks))
+        except OddText:
             return self.whole(text)
-        chunks = text.split() if self.kind == "word" else _CHUNK.findall(text)
-        return b"".join(map(self.__getitem__, chunks))
 
 
 def _kind(spec: dict) -> str | None:
