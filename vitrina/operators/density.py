@@ -1,28 +1,28 @@
-"""Kernel density and bootstrap bands of grouped measures."""
+"""Kernel density and bootstrap bands of grouped measures.
+
+Both sum one vector per row (a place for each grid point or resample), so partial sums are combined in each task and no row is
+multiplied.
+"""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vitrina.operators.lookup import attach
 from vitrina.session import cut_lineage, written
 
-# Beyond this many bandwidths a Gaussian kernel adds less than 1e-17 of its peak.
-KERNEL_REACH = 9.0
-
 
 def kde(df: DataFrame, value: str, groups: Sequence[str], points: int = 200, cut: float = 3.0) -> DataFrame:
-    """Gaussian density on an even grid per group, with Scott's bandwidth.
-
-    Equal values collapse first; each value then meets only the grid points its kernel reaches, and
-    the sums are combined in each task before the shuffle.
-    """
+    """Gaussian density on an even grid per group, with Scott's bandwidth; every value counts at every grid point."""
     groups = list(groups)
     rows = written(df.filter(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v")))
-    values = rows.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_n"))
     stats = rows.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("_size"), F.stddev_samp("_v").alias("_dev"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
     ).filter("_dev > 0")
@@ -30,45 +30,71 @@ def kde(df: DataFrame, value: str, groups: Sequence[str], points: int = 200, cut
     stats = cut_lineage(stats.select(
         *groups, "_size", width.alias("_width"), (F.col("_min") - cut * width).alias("_start"),
         ((F.col("_max") - F.col("_min") + 2 * cut * width) / (points - 1)).alias("_step")))
-    reach = F.ceil(KERNEL_REACH * F.col("_width") / F.col("_step"))
-    here = F.floor((F.col("_v") - F.col("_start")) / F.col("_step"))
-    span = F.sequence(F.greatest(here - reach, F.lit(0)), F.least(here + 1 + reach, F.lit(points - 1)))
-    cells = attach(values, stats, groups, how="inner").withColumn("grid_point", F.explode(span))
-    at = F.col("_start") + F.col("grid_point") * F.col("_step")
-    away = (at - F.col("_v")) / F.col("_width")
-    kernel = F.exp(-0.5 * away * away) * F.col("_n")
+    start = (F.col("_start") - F.col("_v")) / F.col("_width")
+    step = F.col("_step") / F.col("_width")
+    away = attach(rows, stats, groups, how="inner").select(*groups, start.alias("_a"), step.alias("_b"))
+    kernels = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda g: F.exp(-0.5 * F.pow(F.col("_a") + g * F.col("_b"), F.lit(2.0))))
+    sums = away.groupBy(*groups).agg(Summarizer.sum(array_to_vector(kernels)).alias("_sum"))
     scale = F.col("_size") * F.col("_width") * math.sqrt(2 * math.pi)
-    sums = cells.groupBy(*groups, "grid_point").agg(F.sum(kernel).alias("_sum"))
-    grid = stats.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("grid_point"))
-    filled = grid.join(sums, [*groups, "grid_point"], "left")
-    return filled.select(
-        *groups, F.col("grid_point").cast("long").alias("grid_point"), at.alias("x"),
-        (F.coalesce("_sum", F.lit(0.0)) / scale).alias("density"))
+    grid = stats.join(sums, groups).select("*", F.posexplode(vector_to_array("_sum")).alias("grid_point", "_kernel"))
+    return grid.select(
+        *groups, F.col("grid_point").cast("long").alias("grid_point"), (F.col("_start") + F.col("grid_point") * F.col("_step")).alias("x"),
+        (F.col("_kernel") / scale).alias("density"))
+
 
+def _poisson_steps() -> list[float]:
+    """Cumulative probabilities of a Poisson variable with mean 1, as far as doubles tell them from 1."""
+    steps, term, total = [], math.exp(-1), 0.0
+    while total + term > total:
+        total += term
+        steps.append(total)
+        term /= len(steps)
+    return steps
 
-# Cumulative probabilities of a Poisson variable with mean 1, for 0, 1, 2, ...
-POISSON_STEPS = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975)
 
+def _poisson_draws(row: Column, replicates: int) -> Column:
+    """Poisson(1) draws of a row for every resample; they depend only on the row's hash, so that a lost task repeats them."""
+    steps = np.array(_poisson_steps())
+    odd = np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
-def _poisson(*seed: Column) -> Column:
-    """Poisson(1) draw that depends only on the seed columns, so that a lost task repeats it."""
-    uniform = F.pmod(F.xxhash64(*seed), F.lit(1 << 52)) / float(1 << 52)
-    steps = [(uniform >= step).cast("int") for step in POISSON_STEPS]
-    return sum(steps[1:], steps[0])
+    @F.pandas_udf("array<double>")
+    def draws(hashes: pd.Series) -> pd.Series:
+        out = []
+        for h in hashes.to_numpy(np.int64).view(np.uint64):
+            z = h + odd
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            out.append(np.searchsorted(steps, (z ^ (z >> np.uint64(31))) / 2.0**64, side="right").astype(float))
+        return pd.Series(out)
+
+    return draws(row)
 
 
 def mean_line_ci(
     df: DataFrame, value: str, keys: Sequence[str], row_id: str, replicates: int = 1000, seed: int = 0, level: float = 0.95
 ) -> DataFrame:
-    """Mean per group with a percentile band from a Poisson bootstrap."""
+    """Mean per group with a percentile band from a Poisson bootstrap; resamples without a row are left out of the band."""
     keys = list(keys)
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, row_id, F.col(value).alias("_v"))
-    drawn = rows.withColumn("_replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn(
-        "_weight", _poisson(F.col(row_id), F.col("_replicate"), F.lit(seed)))
-    means = drawn.filter("_weight > 0").groupBy(*keys, "_replicate").agg(
-        (F.sum(F.col("_weight") * F.col("_v")) / F.sum("_weight")).alias("_mean"))
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(row_id).alias("_id"), F.col(value).cast("double").alias("_v"))
+    drawn = rows.withColumn("_draws", _poisson_draws(F.xxhash64("_id", F.lit(seed)), replicates))
+    weights = array_to_vector("_draws")
+    sums = drawn.groupBy(*keys).agg(
+        F.avg("_v").alias("mean"), F.count(F.lit(1)).alias("n"), Summarizer.sum(weights).alias("_weight"),
+        Summarizer.sum(array_to_vector(F.transform("_draws", lambda w: w * F.col("_v")))).alias("_sum"))
+    pairs = F.arrays_zip(vector_to_array("_sum").alias("s"), vector_to_array("_weight").alias("w"))
+    means = F.array_sort(F.transform(F.filter(pairs, lambda p: p["w"] > 0), lambda p: p["s"] / p["w"]))
+    found = sums.withColumn("_means", means)
+
+    def quantile(at: float) -> Column:
+        place = at * (F.size("_means") - 1)
+        below = F.get("_means", F.floor(place).cast("int"))
+        above = F.get("_means", F.ceil(place).cast("int"))
+        return F.when(F.size("_means") > 0, below + (above - below) * (place - F.floor(place)))
+
+    def steady(x: Column) -> Column:
+        """Twelve significant digits, which the order of addition does not reach."""
+        scale = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))))
+        return F.when(x == 0, x).otherwise(F.round(x / scale, 11) * scale)
+
     tail = (1 - level) / 2
-    bands = means.groupBy(*keys).agg(F.percentile("_mean", F.array(F.lit(tail), F.lit(1 - tail))).alias("_band"))
-    centre = rows.groupBy(*keys).agg(F.avg("_v").alias("mean"), F.count(F.lit(1)).alias("n"))
-    return centre.join(bands, keys, "left").select(
-        *keys, "mean", "n", F.col("_band")[0].alias("low"), F.col("_band")[1].alias("high"))
+    return found.select(*keys, "mean", "n", steady(quantile(tail)).alias("low"), steady(quantile(1 - tail)).alias("high"))

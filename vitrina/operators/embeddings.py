@@ -13,10 +13,15 @@ from vitrina.operators.matching import BLOCK, greedy_groups
 from vitrina.session import cut_lineage
 
 
-def phrase_vectors(items: DataFrame, size: int = 150, window: int = 5, min_count: int = 1, seed: int = 42) -> DataFrame:
-    """Unit vector of each phrase: mean of the vectors of its words, learnt from the phrases themselves."""
+def phrase_vectors(items: DataFrame, size: int = 150, window: int = 5, min_count: int = 1, seed: int = 42, epochs: int = 15,
+                   partitions: int | None = None) -> DataFrame:
+    """Unit vector of each phrase: mean of the vectors of its words, learnt from the phrases themselves.
+
+    Training is shared out over ``partitions`` tasks, by default as many as the session runs at once.
+    """
+    partitions = partitions or items.sparkSession.sparkContext.defaultParallelism
     words = items.withColumn("_words", F.split("text", " "))
-    model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, maxIter=1, seed=seed,
+    model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, maxIter=epochs, seed=seed, numPartitions=partitions,
                      inputCol="_words", outputCol="_vector").fit(words)
     vectors = model.transform(words).withColumn("_mean", vector_to_array("_vector"))
     length = norm(F.col("_mean"))

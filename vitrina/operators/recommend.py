@@ -24,8 +24,8 @@ RATIOS = ("ratio_store", "ratio_partner", "ratio_other")
 # Scores are rounded before ranking, so that the order of addition cannot decide a tie.
 SCORE_DIGITS = 9
 
-# A query set is a sample; its features travel to every task as one array.
-MAX_QUERIES = 10_000
+# Queries whose features travel together as one array; a larger set takes several.
+QUERY_BLOCK = 4096
 
 
 def content_tokens(text: Column, stop: Sequence[str] | None = None) -> Column:
@@ -68,13 +68,12 @@ def recommend_text(docs: DataFrame, queries: DataFrame, k: int = 5, stop: Sequen
     return top_k_by_score(scored.select("query", "id", "score").unionByName(filler), "query", "score", ["id"], k)
 
 
-def _query_array(products: DataFrame, queries: DataFrame, columns: Sequence[str]) -> Column:
-    """Features of the queried products as one array of structs."""
-    asked = products.join(queries.select(F.col("query").alias("id")), "id", "left_semi")
-    size = F.count(F.lit(1))
-    checked = F.when(size <= MAX_QUERIES, F.collect_list(F.struct(F.col("id").alias("query"), *columns))).otherwise(
-        F.raise_error(F.lit("too many queries at once")))
-    return asked.agg(checked.alias("_asked")).scalar()
+def _query_blocks(products: DataFrame, queries: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Features of the queried products in arrays ``_asked`` of about ``QUERY_BLOCK`` structs, with the number ``_block`` of each."""
+    asked = cut_lineage(products.join(queries.select(F.col("query").alias("id")), "id", "left_semi"))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    return asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("_block")).agg(
+        F.collect_list(F.struct(F.col("id").alias("query"), *columns)).alias("_asked"))
 
 
 def recommend_hybrid(
@@ -89,8 +88,12 @@ def recommend_hybrid(
     by_doc = text_scores(tfidf(products.select("id", "text"), stop), queries).groupBy("id").agg(
         F.map_from_entries(F.collect_list(F.struct("query", "score"))).alias("_text"))
     features = products.select("id", "sentiment", F.array(*RATIOS).alias("_ratios"))
-    asked = _query_array(features, queries, ["sentiment", "_ratios"])
-    rows = features.join(by_doc, "id", "left").withColumn("_asked", F.explode(asked)).filter(F.col("_asked.query") != F.col("id"))
+    asked = cut_lineage(_query_blocks(features, queries, ["sentiment", "_ratios"]))
+    numbers = F.sequence(F.lit(0), F.lit(asked.count() - 1)) if asked.count() else F.array().cast("array<int>")
+    number = F.row_number().over(Window.orderBy("_block")) - 1  # one row for each block of queries
+    rows = features.join(by_doc, "id", "left").withColumn("_block", F.explode(numbers))
+    rows = rows.join(asked.withColumn("_block", number), "_block").withColumn("_asked", F.explode("_asked"))
+    rows = rows.filter(F.col("_asked.query") != F.col("id"))
     text = F.coalesce(F.try_element_at("_text", F.col("_asked.query")), F.lit(0.0))
     mood = closeness(F.col("sentiment"), F.col("_asked.sentiment"))
     price = vector_cosine(F.col("_ratios"), F.col("_asked._ratios"))
@@ -103,10 +106,10 @@ def truncated_svd(docs: DataFrame, components: int = 50, stop: Sequence[str] | N
     """``(id, reduced)``: documents in the space of the leading singular vectors of their TF-IDF matrix.
 
     The matrix is not centred. Weights as in ``tfidf``; the library's decomposition keeps one dense
-    row per term on the driver, so the vocabulary must fit there.
+    row per term on the driver, so the vocabulary must fit there; no term is dropped.
     """
     words = docs.select("id", content_tokens(F.col("text"), stop).alias("_words"))
-    counts = CountVectorizer(inputCol="_words", outputCol="_counts", vocabSize=1 << 24).fit(words).transform(words)
+    counts = CountVectorizer(inputCol="_words", outputCol="_counts", vocabSize=(1 << 31) - 1).fit(words).transform(words)
     idf = IDF(inputCol="_counts", outputCol="_unused").fit(counts).idf
     weighed = ElementwiseProduct(scalingVec=Vectors.dense(idf.toArray() + 1.0), inputCol="_counts", outputCol="_weights").transform(counts)
     rows = Normalizer(p=2.0, inputCol="_weights", outputCol="vector").transform(weighed).select(F.col("id").cast("long").alias("index"), "vector")

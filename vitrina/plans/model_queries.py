@@ -223,26 +223,23 @@ def _vectors(spark, sf_dir):
 @query("kmeans_best_of")
 def _(spark, sf_dir):
     rows = _vectors(spark, sf_dir)
-    return features.kmeans_best_of(rows, 10, restarts=3).transform(rows).select("vec_id", "cluster")
+    return features.kmeans_best_of(rows, 10).transform(rows).select("vec_id", "cluster")
 
 
 @query("elbow_curve")
 def _(spark, sf_dir):
-    return features.elbow_curve(_vectors(spark, sf_dir), range(2, 9), restarts=1)
+    return features.elbow_curve(_vectors(spark, sf_dir))
 
 
 @query("silhouette_curve")
 def _(spark, sf_dir):
-    return features.silhouette_curve(_vectors(spark, sf_dir), range(2, 9), restarts=1)
+    return features.silhouette_curve(_vectors(spark, sf_dir))
 
 
 @query("cluster_products")
 def _(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select(
-        "p_partkey", F.col("p_name").alias("name"), F.col("p_type").alias("category"),
-        F.when(F.col("p_size") > 25, "equipment").otherwise("accessory").alias("kind"), F.col("p_retailprice").alias("list_price"),
-        (F.col("p_size") / 10).alias("rating"))
-    return features.cluster_products(rows, ["list_price", "rating"], k=9, restarts=2).select("p_partkey", "cluster")
+    rows = filled_offers(spark, sf_dir).withColumn("kind", F.when(F.col("brand") > "Brand#3", "equipment").otherwise("accessory"))
+    return features.cluster_products(rows, ["list_price", "store_price", "partner_price", "rating"]).select("offer_id", "cluster")
 
 
 # --- topics -------------------------------------------------------------------------------------------
@@ -262,7 +259,7 @@ def _reviews(spark, sf_dir):
 
 @query("topics_by_product")
 def _(spark, sf_dir):
-    found = topics.topics_by_product(cut_lineage(_reviews(spark, sf_dir)), "url", "comment_clean", k=10, iterations=10)
+    found = topics.topics_by_product(cut_lineage(_reviews(spark, sf_dir)), "url", "comment_clean")
     return found.select("doc_id", "url", "topic", "topic_words")
 
 
@@ -270,7 +267,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     vectors, vocabulary = topics.document_vectors(docs)
-    _, model = topics.lda_topics(cut_lineage(vectors), k=10, iterations=10)
+    _, model = topics.lda_topics(cut_lineage(vectors))
     return topics.topic_words(model, vocabulary)
 
 
@@ -278,7 +275,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     vectors, _ = topics.document_vectors(docs)
-    return topics.lda_topics(cut_lineage(vectors), k=10, iterations=10)[0]
+    return topics.lda_topics(cut_lineage(vectors))[0]
 
 
 # Topic of a product: the weekday-like number of its key; the join is what is checked.
@@ -412,5 +409,5 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("store"), F.col("source").alias("url"), "text")
     found = reviews.score_reviews(
-        rows, "doc_id", "url", "text", _valences(spark, sf_dir), _emotions(spark, sf_dir), star_model, emotion_model, topics=10, iterations=5)
+        rows, "doc_id", "url", "text", _valences(spark, sf_dir), _emotions(spark, sf_dir), star_model, emotion_model)
     return found.drop("text", "comment_clean")

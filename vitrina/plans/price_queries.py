@@ -266,17 +266,22 @@ def _(spark, sf_dir):
     return lines.select("category", "store", _day(), F.round("mean", 4).alias("mean"), "n", F.round("deviation", 3).alias("deviation"))
 
 
-@query("mean_line_gap", f"""WITH {FILLED_SQL}
-SELECT category, store, {_DAY_SQL}, round(avg((list_price - store_price) / store_price), 6) AS mean, count(*) AS n FROM filled GROUP BY ALL""")
+def _gaps(spark, sf_dir):
+    """Offers with the gap of their list price to the lowest store price of their name."""
+    lowest = stats.min_over_name(filled_offers(spark, sf_dir), ["store_price"])
+    return lowest.withColumn("gap", money.pct_gap(F.col("list_price"), F.col("min_store_price")))
+
+
+@query("mean_line_gap", f"""WITH {FILLED_SQL},
+lowest AS (SELECT name, min(store_price) AS floor FROM filled GROUP BY name)
+SELECT category, store, {_DAY_SQL}, round(avg((list_price - floor) / floor), 6) AS mean, count(*) AS n FROM filled JOIN lowest USING (name) GROUP BY ALL""")
 def _(spark, sf_dir):
-    gaps = filled_offers(spark, sf_dir).withColumn("gap", money.pct_gap(F.col("list_price"), F.col("store_price")))
-    return stats.mean_line(gaps, "gap").select("category", "store", _day(), F.round("mean", 6).alias("mean"), "n")
+    return stats.mean_line(_gaps(spark, sf_dir), "gap").select("category", "store", _day(), F.round("mean", 6).alias("mean"), "n")
 
 
 @query("mean_line_ci")
 def _(spark, sf_dir):
-    gaps = filled_offers(spark, sf_dir).withColumn("gap", money.pct_gap(F.col("list_price"), F.col("store_price")))
-    return density.mean_line_ci(gaps, "gap", ["category", "captured_on"], "offer_id", replicates=100)
+    return density.mean_line_ci(_gaps(spark, sf_dir), "gap", ["category", "store", "captured_on"], "offer_id")
 
 
 _BOX_SQL = """
@@ -326,14 +331,14 @@ def _(spark, sf_dir):
 
 
 @query("kde", f"""WITH {FILLED_SQL},
-measured AS (SELECT category, store, (list_price - store_price) / store_price AS v FROM filled),
+lowest AS (SELECT name, min(store_price) AS floor FROM filled GROUP BY name),
+measured AS (SELECT category, store, (list_price - floor) / floor AS v FROM filled JOIN lowest USING (name)),
 bands AS (SELECT category, store, count(*) AS n, min(v) AS lo, max(v) AS hi, stddev_samp(v) * pow(count(*), -0.2) AS bw FROM measured GROUP BY ALL HAVING stddev_samp(v) > 0),
 grid AS (SELECT *, lo - 3 * bw + g * ((hi - lo + 6 * bw) / 199) AS x FROM bands, range(0, 200) AS r(g))
 SELECT category, store, g AS grid_point, round(x, 6) + 0.0 AS x, round(sum(exp(-0.5 * pow((x - v) / bw, 2))) / (n * bw * sqrt(2 * pi())), 6) AS density
 FROM grid JOIN measured USING (category, store) GROUP BY category, store, g, x, n, bw""")
 def _(spark, sf_dir):
-    gaps = filled_offers(spark, sf_dir).withColumn("gap", money.pct_gap(F.col("list_price"), F.col("store_price")))
-    return density.kde(gaps, "gap", ["category", "store"]).select("category", "store", "grid_point", (F.round("x", 6) + 0.0).alias("x"), F.round("density", 6).alias("density"))
+    return density.kde(_gaps(spark, sf_dir), "gap", ["category", "store"]).select("category", "store", "grid_point", (F.round("x", 6) + 0.0).alias("x"), F.round("density", 6).alias("density"))
 
 
 _PROFILED = ("rating", "list_price", "store_price", "partner_price", "other_price")

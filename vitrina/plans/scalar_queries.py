@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vitrina.functions import dates, money, similarity, text, vectors
 from vitrina.plans.bindings import FILLED_SQL, OFFERS_SQL, filled_offers, offers, table
+from vitrina.operators.stats import min_over_name
 from vitrina.plans.registry import query
 
 WORDS_SQL = "(" + ", ".join("'" + w + "'" for w in text.stop_words()) + ")"
@@ -307,12 +308,13 @@ def _(spark, sf_dir):
     return ratios.select("offer_id", *[F.round(f"ratio_{k}", 6).alias(f"ratio_{k}") for k in ("store", "partner", "other")])
 
 
-@query("price_gaps", f"""WITH {FILLED_SQL}
-SELECT offer_id, round((list_price - store_price) / nullif(store_price, 0), 6) AS pct_gap,
-  round(list_price - store_price, 6) AS net_gap FROM filled""")
+@query("price_gaps", f"""WITH {FILLED_SQL},
+lowest AS (SELECT name, min(store_price) AS floor FROM filled GROUP BY name)
+SELECT offer_id, round((list_price - floor) / nullif(floor, 0), 6) AS pct_gap,
+  round(list_price - floor, 6) AS net_gap FROM filled JOIN lowest USING (name)""")
 def _(spark, sf_dir):
-    pair = F.col("list_price"), F.col("store_price")
-    return filled_offers(spark, sf_dir).select(
+    pair = F.col("list_price"), F.col("min_store_price")
+    return min_over_name(filled_offers(spark, sf_dir), ["store_price"]).select(
         "offer_id", F.round(money.pct_gap(*pair), 6).alias("pct_gap"), F.round(money.net_gap(*pair), 6).alias("net_gap"))
 
 

@@ -311,11 +311,10 @@ def _(spark, sf_dir):
     return _streamed(spark, rows.select("user_id", "event_type", F.lit(True).alias("seen")), "stream-dedupe")
 
 
-# Days that the watermark has not passed stay open: the last two days of the data are not yet written.
-@query("stream_counts", """
-SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events
-WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL""")
+@query("stream_counts", "SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def _(spark, sf_dir):
     counts = streams.stream_counts(_event_stream(spark, sf_dir), ["event_type"], "ts")
-    rows = counts.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
-    return _streamed(spark, rows, "stream-counts")
+    path = scratch_path(spark, "stream-counts")
+    streams.run_to_updates(counts, f"{path}/rows", f"{path}/checkpoint")
+    rows = streams.latest(spark.read.parquet(f"{path}/rows"), ["window", "event_type"])
+    return rows.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")

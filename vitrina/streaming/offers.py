@@ -67,3 +67,20 @@ def run_to_table(rows: DataFrame, path: str, checkpoint: str, mode: str = "appen
     """Process everything there is into a Parquet table and stop."""
     rows.writeStream.outputMode(mode).format("parquet").option("path", path).option(
         "checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def run_to_updates(rows: DataFrame, path: str, checkpoint: str) -> None:
+    """Write what changed in each batch below the batch's number, so open groups are there too; a repeated batch replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    rows.writeStream.outputMode("update").foreachBatch(write).option(
+        "checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def latest(updates: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The last update of each key of a folder that ``run_to_updates`` wrote."""
+    values = [c for c in updates.columns if c not in (*keys, "batch")]
+    last = F.max_by(F.struct(*values), "batch").alias("_last")
+    return updates.groupBy(*keys).agg(last).select(*keys, "_last.*")
