@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vitrina.operators.lookup import attach
-from vitrina.session import written
+from vitrina.session import cut_lineage, written
 
 # Rank error of the mergeable sketch: 1 / ACCURACY of the group size.
 ACCURACY = 10_000
 
+# Parts that a range of values is counted in.
+BINS = 1024
+
 
 def approximate_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = ()) -> DataFrame:
     """``(groups, prob, quantile)`` by a mergeable sketch of bounded size."""
@@ -24,53 +28,47 @@ def approximate_quantiles(df: DataFrame, value: str, probs: Sequence[float], gro
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = ()) -> DataFrame:
     """``(groups, prob, quantile)`` with linear interpolation between neighbours.
 
-    A sketch first brackets every wanted rank. In the second pass the values below and above a
-    bracket are only counted, and equal values inside collapse on the map side; the window then
-    runs over the few values of each bracket.
+    A sketch proposes a range for every wanted rank. A round counts the values of each of ``BINS`` equal parts of the range, and those
+    beyond it; the part that holds the rank is the next range, until it holds one value. A window never sees more than the
+    parts of a range, whatever the size of the group, and a poor proposal only costs a round.
     """
-    groups = list(groups)
+    keys = list(groups) or ["_all"]
+    rows = df.select(*groups, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    if not groups:
+        rows = rows.withColumn("_all", F.lit(0))
     margin = 2.0 / ACCURACY
     ends = [end for p in probs for end in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    rows = df.select(*groups, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
-    brackets = rows.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("_size"), F.percentile_approx("_v", ends, ACCURACY).alias("_ends"))
-    if groups:
-        bracketed = attach(rows, brackets, groups, how="inner")
-    else:
-        whole = brackets.first()  # one row: the size and two numbers per wanted quantile
-        if not whole["_size"]:
-            return rows.select(F.lit(0.0).alias("prob"), F.col("_v").alias("quantile")).limit(0)
-        bracketed = rows.withColumns({
-            "_size": F.lit(whole["_size"]), "_ends": F.array(*[F.lit(float(e)) for e in whole["_ends"]])})
-
+    start = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"), F.percentile_approx("_v", ends, ACCURACY).alias("_ends"))
+    position = lambda p: F.lit(float(p)) * (F.col("_size") - 1)
     wanted = F.array(*[
-        F.struct(F.lit(float(p)).alias("prob"), F.col("_ends")[2 * i].alias("low"), F.col("_ends")[2 * i + 1].alias("high"))
-        for i, p in enumerate(probs)
-    ])
-    marked = bracketed.select(*groups, "_size", "_v", F.inline(wanted))
-    zone = F.when(F.col("_v") < F.col("low"), 0).when(F.col("_v") <= F.col("high"), 1).otherwise(2)
-    keys = [*groups, "_size", "prob"]
-    counted = marked.select(*keys, "_v", zone.alias("_zone")).groupBy(
-        *keys, "_zone", F.when(F.col("_zone") == 1, F.col("_v")).alias("_inside")
-    ).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
-
-    # Ranks each row can answer for: all its copies inside, the last one below, the first one above.
-    order = Window.partitionBy(*keys).orderBy("_zone", "_inside").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("_upto", F.sum("_n").over(order)).select(
-        *keys,
-        F.when(F.col("_zone") == 0, F.col("_most")).otherwise(F.col("_least")).alias("_v"),
-        F.when(F.col("_zone") == 0, F.col("_upto") - 1).otherwise(F.col("_upto") - F.col("_n")).alias("_from"),
-        F.when(F.col("_zone") == 2, F.col("_upto") - F.col("_n") + 1).otherwise(F.col("_upto")).alias("_to"))
-    position = F.col("prob") * (F.col("_size") - 1)
-
-    def value_at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_to")), F.col("_v")))
-
-    found = ranked.groupBy(*keys).agg(value_at(F.floor(position)).alias("_a"), value_at(F.ceil(position)).alias("_b"))
-    missed = F.raise_error(F.lit("a quantile fell outside its bracket")).cast("double")
-    quantile = F.col("_a") + (F.col("_b") - F.col("_a")) * (position - F.floor(position))
-    checked = F.when(F.col("_a").isNull() | F.col("_b").isNull(), missed).otherwise(quantile)
-    return found.select(*groups, "prob", checked.alias("quantile"))
+        F.struct(F.lit(float(p)).alias("prob"), F.lit(side).alias("side"), rank(position(p)).alias("rank"), F.col("_ends")[2 * i].alias("low"),
+                 F.col("_ends")[2 * i + 1].alias("high"), F.lit(0).cast("long").alias("below"))
+        for i, p in enumerate(probs) for side, rank in enumerate((F.floor, F.ceil))])
+    target = ["prob", "side", "rank"]
+    sizes = cut_lineage(start)
+    open_, done = sizes.select(*keys, F.inline(wanted)), []
+    first = True
+    while first or not open_.isEmpty():
+        ranges = open_.groupBy(*keys).agg(F.collect_list(F.struct(*target, "low", "high", "below")).alias("_ranges"))
+        inside = attach(rows, ranges, keys, how="inner").select(*keys, "_v", F.inline("_ranges"))
+        if not first:
+            inside = inside.filter(F.col("_v").between(F.col("low"), F.col("high")))
+        share = F.floor(F.try_divide(F.col("_v") - F.col("low"), F.col("high") - F.col("low")) * BINS)
+        bin_ = F.when(F.col("_v") < F.col("low"), -1).when(F.col("_v") > F.col("high"), BINS).otherwise(
+            F.coalesce(F.least(share, F.lit(BINS - 1)), F.lit(0)))
+        parts = inside.groupBy(*keys, *target, "below", bin_.alias("_bin")).agg(
+            F.count(F.lit(1)).alias("_n"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+        order = Window.partitionBy(*keys, *target).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+        held = parts.withColumn("_upto", F.col("below") + F.sum("_n").over(order)).filter(F.col("_upto") > F.col("rank"))
+        part = held.groupBy(*keys, *target).agg(F.min_by(F.struct("low", "high", (F.col("_upto") - F.col("_n")).alias("below")), "_bin").alias("_part"))
+        part = cut_lineage(part.select(*keys, *target, "_part.*"))
+        done.append(part.filter("low = high"))
+        open_, first = part.filter("low < high"), False
+    found = reduce(DataFrame.unionByName, done).groupBy(*keys, "prob").agg(
+        F.max(F.when(F.col("side") == 0, F.col("low"))).alias("_a"), F.max(F.when(F.col("side") == 1, F.col("low"))).alias("_b"))
+    place = F.col("prob") * (F.col("_size") - 1)
+    quantile = F.col("_a") + (F.col("_b") - F.col("_a")) * (place - F.floor(place))
+    return attach(found, sizes.select(*keys, "_size"), keys, how="inner").select(*groups, "prob", quantile.alias("quantile"))
 
 
 def box_stats(df: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:

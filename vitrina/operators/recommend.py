@@ -40,7 +40,7 @@ def term_counts(docs: DataFrame, stop: Sequence[str] | None = None) -> DataFrame
 
 def tfidf(docs: DataFrame, stop: Sequence[str] | None = None) -> DataFrame:
     """``(id, term, weight)`` with smooth idf ``ln((1+n)/(1+df)) + 1`` and unit length per document."""
-    counts = term_counts(docs, stop)
+    counts = cut_lineage(term_counts(docs, stop))  # for the idf and for the weights
     total = docs.agg(F.count_distinct("id")).scalar()
     frequency = counts.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
     idf = frequency.select("term", (F.log((total + 1.0) / (F.col("_df") + 1.0)) + 1.0).alias("_idf"))
@@ -188,6 +188,7 @@ def rating_error(recommended: DataFrame, products: DataFrame) -> DataFrame:
 
 def evaluate(recommended: DataFrame, products: DataFrame, k: int = 5) -> DataFrame:
     """One row: mean precision, recall and rating error."""
+    recommended = cut_lineage(recommended)
     hits = precision_recall_at_k(recommended, products, k).agg(
         F.coalesce(F.avg("precision"), F.lit(0.0)).alias("precision"), F.coalesce(F.avg("recall"), F.lit(0.0)).alias("recall"))
     error = rating_error(recommended, products).agg(F.coalesce(F.avg("error"), F.lit(0.0)).alias("mae")).scalar()
