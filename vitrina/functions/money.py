@@ -57,10 +57,6 @@ def digits_only_number(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "").try_cast("double")
 
 
-def nan_to_null(value: Column) -> Column:
-    return F.when(~F.isnan(value), value)
-
-
 def rescale_tiers(value: Column, tiers: Sequence[tuple[float, float]] = PRICE_TIERS) -> Column:
     """Undo scale mistakes of prices by size class."""
     (bound, divisor), *rest = tiers

@@ -15,7 +15,6 @@ _COMMON_SQL = """length(b) - bit_count(list_reduce(list_prepend((1::HUGEINT << l
     lambda k: CASE WHEN a[i] = b[k] THEN 1::HUGEINT << (k - 1) ELSE 0::HUGEINT END)), 0::HUGEINT))),
   lambda v, m: ((v + (v & m)) | (v - (v & m))) & ((1::HUGEINT << length(b)) - 1)))"""
 
-_NAMES_SQL = "items AS MATERIALIZED (SELECT DISTINCT p_name || ' ' || p_brand AS text FROM part)"
 
 
 def _edges_sql(items: str, threshold: int, extra: str = "TRUE") -> str:

@@ -9,7 +9,7 @@ from vitrina.functions.money import PRICES
 from vitrina.operators import features, matching, recommend, reviews, stats, topics
 from vitrina.plans.bindings import OFFERS_SQL, filled_offers, offers, table
 from vitrina.plans.registry import query
-from vitrina.plans.scalar_queries import NORMALISED_SQL, WORDS_SQL, clean_sql
+from vitrina.plans.scalar_queries import NORMALISED_SQL, WORDS_SQL
 from vitrina.session import cut_lineage
 
 NUMERIC = [*PRICES, "rating"]

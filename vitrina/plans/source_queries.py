@@ -183,8 +183,15 @@ def _raw_offers(spark, sf_dir):
         F.col("offer_id").alias("seller"), text("rating"), *[text(p) for p in RAW_OFFER_COLUMNS[9:]])
 
 
+def _cents_sql(column: str) -> str:
+    """Rounded half up as decimal text, as Spark rounds; -1 for NULL."""
+    return f"CAST(coalesce(round(CAST(CAST({column} AS VARCHAR) AS DECIMAL(36, 18)), 2), -1) AS DOUBLE) AS {column}"
+
+
 _RAW_SQL = f"""WITH {OFFERS_SQL}
-SELECT offer_id AS seller, CASE WHEN length(name) % 4 = 0 THEN name || ', señal' ELSE name END AS name, brand FROM offers"""
+SELECT strftime(captured_on, '%Y-%m-%d') AS captured_on, store, category, url, '{MISSING_FIELD}' AS image,
+  CASE WHEN length(name) % 4 = 0 THEN name || ', señal' ELSE name END AS name, brand, offer_id AS seller,
+  {", ".join(map(_cents_sql, RAW_OFFER_COLUMNS[8:]))} FROM offers"""
 
 
 def _write_dialects(spark, sf_dir):
@@ -200,8 +207,22 @@ def _write_dialects(spark, sf_dir):
 
 @query("read_offers_csv", _RAW_SQL)
 def _(spark, sf_dir):
-    rows, _ = delimited.read_offers_csv(spark, _write_dialects(spark, sf_dir))
-    return rows.select("seller", "name", "brand")
+    rows, _ = delimited.split_by_width(delimited.read_offers_csv(spark, _write_dialects(spark, sf_dir))[0])
+    number = lambda c: F.when(F.col(c) == MISSING_FIELD, -1.0).otherwise(F.col(c).try_cast("double")).alias(c)
+    return rows.select(*RAW_OFFER_COLUMNS[:8], *map(number, RAW_OFFER_COLUMNS[8:]))
+
+
+@query("wrong_width_rows", """
+SELECT p_name AS first, p_name || repeat(',x', CAST(p_size % 3 + 11 AS INTEGER)) AS corrupt_record FROM part WHERE p_size % 3 <> 1""")
+def _(spark, sf_dir):
+    """Rows of 12, 13 and 14 fields under a header of 13; those of 13 are offers."""
+    folder = scratch_path(spark, "wrong-width")
+    part = table(spark, sf_dir, "part")
+    lines = part.select(F.concat("p_name", F.repeat(F.lit(",x"), (F.col("p_size") % 3 + 11).cast("int"))).alias("value"))
+    header = spark.createDataFrame([(",".join(RAW_OFFER_COLUMNS),)], "value string")
+    header.unionByName(lines).coalesce(1).write.option("lineSep", "\n").text(folder)
+    rows, _ = delimited.read_offers_csv(spark, folder, pattern="*.txt")
+    return delimited.split_by_width(rows)[1].select(F.col("captured_on").alias("first"), "corrupt_record")
 
 
 @query("unreadable_files", "SELECT count(*) AS files, 'no dialect splits the header into 13 columns' AS error FROM (SELECT 1 FROM region LIMIT 1)")

@@ -9,8 +9,6 @@ RAW_OFFER_COLUMNS = (
 )
 
 RAW_OFFERS = StructType([StructField(c, StringType()) for c in RAW_OFFER_COLUMNS])
-SPECIFICATIONS = StructType([StructField(c, StringType()) for c in ("store", "url", "name", "property", "value")])
-REVIEWS = StructType([StructField(c, StringType()) for c in ("store", "url", "name", "score", "comment")])
 
 # Sentinels written by the collectors.
 MISSING_FIELD = "Na"

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from vitrina.schemas import RAW_OFFERS
 
+CORRUPT = "corrupt_record"
+
 # Fixed values: (separator, encoding) in the order of trial.
 DIALECTS = ((",", "ISO-8859-1"), (";", "UTF-8"))
 
@@ -33,13 +35,16 @@ def read_offers_csv(spark: SparkSession, folder: str, schema: StructType = RAW_O
     """Rows of all readable files with their file name, and the report of unreadable files.
 
     The folder is scanned once per dialect; each scan keeps the files of its dialect by a join on
-    the file name, so no file list passes through the driver.
+    the file name, so no file list passes through the driver. A row with too few or too many fields has its whole
+    text in ``corrupt_record``, which is NULL for all others.
     """
+    whole = StructType([*schema.fields, StructField(CORRUPT, StringType())])
     dialects = file_dialects(spark, folder, len(schema), pattern)
     parts = []
     for sep, encoding in DIALECTS:
         rows = (
-            spark.read.schema(schema).option("header", True).option("sep", sep).option("encoding", encoding)
+            spark.read.schema(whole).option("columnNameOfCorruptRecord", CORRUPT)
+            .option("header", True).option("sep", sep).option("encoding", encoding)
             .option("multiLine", True).option("escape", '"').option("enforceSchema", True).option("mode", "PERMISSIVE")
             .option("pathGlobFilter", pattern).csv(folder).withColumn("file", F.col("_metadata.file_path"))
         )
@@ -47,6 +52,11 @@ def read_offers_csv(spark: SparkSession, folder: str, schema: StructType = RAW_O
     return parts[0].unionByName(parts[1]), dialects.filter("error IS NOT NULL").select("file", "error")
 
 
+def split_by_width(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``read_offers_csv`` with the right number of fields, and the others, with what could be read and their text, for the quarantine."""
+    return rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), rows.filter(F.col(CORRUPT).isNotNull())
+
+
 def read_delimited_strict(spark: SparkSession, path: str, schema: StructType, sep: str = ",") -> DataFrame:
     """CSV with minimal quoting and backslash escapes."""
     return spark.read.schema(schema).option("header", True).option("sep", sep).option("quote", '"').option("escape", "\\").csv(path)
