@@ -56,7 +56,15 @@ def op4_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
-@query("op3_reply_trees")
+@query("op3_reply_trees", """
+WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(8 + length(role || text) + length(regexp_replace(role || text, '[^<[]', '', 'g'))
+    + length(role) - length(replace(role, chr(10), ''))) AS BIGINT) AS formatted_chars
+FROM said GROUP BY conv_id""")
 def op3_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -69,7 +77,37 @@ RULES = (
     reputation.Rule("www.example.com", "/en/", "allow"), reputation.Rule("net", "/es/", "block"), reputation.Rule("net", "/fr/", "block"))
 
 
-@query("op6_host_reputation")
+# The suffixes of two labels are left out: no test page has one.
+_STRENGTH_SQL = """(SELECT 1 / least(greatest(CASE WHEN free > 0 THEN (spread - (k - 1)) / free ELSE 0 END, 1 / 1001.0), 0.5) - 1
+  FROM (SELECT *, total - squares / total - (k - 1) AS free FROM (
+    SELECT count(*) AS k, CAST(sum(n) AS DOUBLE) AS total, CAST(sum(n * n) AS DOUBLE) AS squares,
+      sum(n * pow(bad / n - mean, 2) / (mean * (1 - mean))) AS spread FROM {0} WHERE n > 0)))"""
+_FITS_SQL = "((host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}'))"
+
+
+def _rules_sql(column: str) -> str:
+    longest = sorted(RULES, key=lambda r: len(r.host + r.path), reverse=True)
+    value = lambda r: r.verdict if column == "verdict" else r.host + r.path
+    return "CASE " + " ".join(f"WHEN {_FITS_SQL.format(r.host, r.path)} THEN '{value(r)}'" for r in longest) + " END"
+
+
+@query("op6_host_reputation", f"""
+WITH outcomes AS (SELECT doc_id AS page_id, max(CAST(toxic = 1 OR quality = 0 AS INTEGER)) AS bad FROM labels GROUP BY 1),
+parts AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+judged AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path, bad FROM parts LEFT JOIN outcomes USING (page_id)),
+counted AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, string_split(regexp_replace(host, '^.*@|:[0-9]*$|[.]$', '', 'g'), '.') AS labels FROM judged GROUP BY host),
+hosts AS (SELECT *, list_extract(labels, -1) AS suffix, array_to_string(labels[-2:], '.') AS domain FROM counted),
+domains AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 1) / (sum(n) + 2) FROM hosts) AS mean FROM domains GROUP BY ALL),
+suffix_rates AS (SELECT suffix, (bad + s * mean) / (n + s) AS rate FROM suffixes, (SELECT {_STRENGTH_SQL.format("suffixes")} AS s)),
+domain_means AS (SELECT domains.*, rate AS mean FROM domains JOIN suffix_rates USING (suffix)),
+domain_rates AS (SELECT suffix, domain, (bad + s * mean) / (n + s) AS rate FROM domain_means, (SELECT {_STRENGTH_SQL.format("domain_means")} AS s)),
+host_means AS (SELECT hosts.*, rate AS mean FROM hosts JOIN domain_rates USING (suffix, domain)),
+host_rates AS (SELECT host, n, s, (bad + s * mean) / (n + s) AS rate FROM host_means, (SELECT {_STRENGTH_SQL.format("host_means")} AS s)),
+bounds AS (SELECT host, rate - 1.645 * sqrt(rate * (1 - rate) / (n + s + 1)) AS bound FROM host_rates)
+SELECT page_id, host, path, {_rules_sql("rule")} AS rule,
+  coalesce({_rules_sql("verdict")}, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM judged JOIN bounds USING (host)""")
 def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The test tables label documents by number; the page of that number takes the label. Bad: toxic, or of low quality."""
     labels = _table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("page_id")).agg(
