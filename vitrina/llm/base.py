@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vitrina.session import scratch_path
 
-# Rows a Python worker gets at once; texts may be long.
+# Rows, and bytes, that a Python worker gets at once; texts may be long.
 BATCH_ROWS = 512
+BATCH_BYTES = "16m"
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Keep Arrow batches of whole texts small, so that memory follows the longest texts and not the batch size."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -53,7 +53,9 @@ class Encoder(dict):
         super().__init__()
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4")
-        self.kind = _kind(json.loads(self.tokenizer.to_str()))
+        # the large model comes last in the file and is not parsed again
+        head = self.tokenizer.to_str().partition('"model":')[0]
+        self.kind = _kind(json.loads(head.rstrip(", \n") + "}"), self.tokenizer.model)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.older: dict[str | bytes, bytes] = {}
 
@@ -104,9 +106,9 @@ class Encoder(dict):
             return self.whole(text)
 
 
-def _kind(spec: dict) -> str | None:
+def _kind(spec: dict, model: object) -> str | None:
     """Which of the two known ways the file cuts texts, if any."""
-    if spec["model"]["type"] != "BPE" or spec["model"].get("dropout") or spec["model"].get("ignore_merges"):
+    if not isinstance(model, tokenizers.models.BPE) or model.dropout or model.ignore_merges:
         return None
     if any(not t["content"].startswith("<|") or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"]):
         return None
