@@ -34,6 +34,8 @@ PASSAGE = 4
 # Kinds of letters that are told apart, the commonest; others are one.
 ALPHABET = 1000
 TOXIC_FROM = 0.7
+# Words whose letters are counted at once on the driver.
+COUNTED_WORDS = 1 << 15
 # Words in a generation of a worker's memory; bounds its size, not the result.
 CACHE_WORDS = 1 << 17
 _WORD = re.compile(r"[^\W_]+")
@@ -208,17 +210,25 @@ def pair_probability(pairs: np.ndarray) -> np.ndarray:
 def gram_counts(letters: Letters, words: list[str], n: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Grams of an order in one class's words, and their counts: texts for the longest order, else the different letters before.
 
-    A gram that begins a word has no letter before it and counts once for each word.
+    A gram that begins a word has no letter before it and counts once for each word. Words are taken in turns to spare memory.
     """
-    numbers, depth = letters.of_words(words)
-    word = np.cumsum(numbers[:-1] == 0) - 1
-    at = np.flatnonzero(depth >= order)
-    if order == ORDER:
-        grams, place = np.unique(codes(numbers, at + 1, order, letters.base), return_inverse=True)
-        return grams, np.bincount(place, n[word[at]], minlength=len(grams))
-    longer = np.unique(codes(numbers, np.flatnonzero(depth > order) + 1, order + 1, letters.base)) % letters.base**order
-    first = codes(numbers, np.flatnonzero(depth == order) + 1, order, letters.base)
-    return np.unique(np.concatenate([longer, first]), return_counts=True)
+    base, longest = letters.base, order == ORDER
+    grams, counts, longer = [], [], []
+    for low in range(0, len(words), COUNTED_WORDS):
+        numbers, depth = letters.of_words(words[low : low + COUNTED_WORDS])
+        at = np.flatnonzero(depth >= order if longest else depth == order)
+        word = np.cumsum(numbers[:-1] == 0) - 1
+        found, place = np.unique(codes(numbers, at + 1, order, base), return_inverse=True)
+        grams.append(found)
+        counts.append(np.bincount(place, n[low + word[at]] if longest else None, minlength=len(found)))
+        if not longest:
+            longer.append(np.unique(codes(numbers, np.flatnonzero(depth > order) + 1, order + 1, base)))
+    if longer:
+        found, more = np.unique(np.unique(np.concatenate(longer)) % base**order, return_counts=True)
+        grams.append(found)
+        counts.append(more)
+    found, place = np.unique(np.concatenate([np.zeros(0, np.int64), *grams]), return_inverse=True)
+    return found, np.bincount(place, np.concatenate([np.zeros(0), *counts]), minlength=len(found))
 
 
 def fit_levels(letters: Letters, counted: pd.DataFrame, pairs: np.ndarray) -> dict[int, Level]:
