@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from vitrina.llm import mixing, mtree, packing, rptree, simhash, token_files, tokens
+from vitrina.llm import copies, mixing, mtree, packing, rptree, simhash, token_files, tokens
 from vitrina.llm.base import components
 from vitrina.llm.rans import Block, Table, encode
 
@@ -99,6 +99,48 @@ def test_near_copies_equal_brute_force(spark, monkeypatch):
     assert simhash.near_duplicates(docs.limit(0), F.col("doc_id")).count() == simhash.keep_one(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("leader_rounds", [0, 2])
+def test_stage_drops_copies_from_four_fifths_on(spark, monkeypatch, leader_rounds):
+    monkeypatch.setattr(copies, "LEADER_ROUNDS", leader_rounds)
+    monkeypatch.setattr(copies, "HOT_PAIRS", 3)
+    rng = random.Random(12)
+    vocabulary = ["w%d" % i for i in range(5000)]
+    found = [None, "", " \t", "one two", "One  two", "one two three"]
+    for changes in (1, 2, 3, 5, 8, 14):  # Jaccard about 0.98 down to 0.6
+        for _ in range(30):
+            words = rng.choices(vocabulary, k=300)
+            found.append(" ".join(words))
+            for at in rng.sample(range(5, 295), changes):
+                words[at] = rng.choice(vocabulary)
+            found.append(" ".join(words))
+    base = rng.choices(vocabulary, k=200)
+    for _ in range(60):  # a crowd
+        words = list(base)
+        for at in rng.sample(range(200), 3):
+            words[at] = rng.choice(vocabulary)
+        found.append(" ".join(words))
+
+    def shingles(text):
+        words = BLANKS.findall((text or "").lower())
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets, linked = [shingles(t) for t in found], Sets(range(len(found)))
+    bands = {0.8: 0, 0.9: 0, 0.95: 0}
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            near = len(a & b) / len(a | b) if a or b else 1.0
+            if near >= 0.8:
+                linked.join(i, j)
+                bands[max(t for t in bands if near >= t)] += 1
+    assert all(n >= 20 for n in bands.values())
+    docs = spark.createDataFrame([(i, t, "f") for i, t in enumerate(found)] + [(None, "one two", "f")], "doc_id long, text string, h1 string")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, None)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({linked.root(i) for i in range(len(found))})
+    assert copies.keep_one(docs.limit(0)).count() == 0
+
+
 def test_bk_trees_find_all_pairs():
     rng = np.random.default_rng(3)
     centres = rng.integers(0, 1 << 63, 20).astype(np.uint64)

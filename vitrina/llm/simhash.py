@@ -31,18 +31,23 @@ PAGE_ROWS = 60_000
 FRONTIER = 2_000_000
 
 
-def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
-    """SimHash of the lower-cased words of a UTF-8 text; 0 without words."""
+def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
+    """Hash of every shingle of the lower-cased words of a UTF-8 text; fewer words than ``width`` are one shingle."""
     words = (text or b"").lower().split()  # on bytes: A-Z only, and the six ASCII blanks
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(width, len(words))
     digest, view = xxhash.xxh64_intdigest, memoryview(joined)
     spans = zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())
-    hashes = np.fromiter((digest(view[a:b], SEED) for a, b in spans), "<u8", len(words) - k + 1)
+    return np.fromiter((digest(view[a:b], SEED) for a, b in spans), "<u8", len(words) - k + 1)
+
+
+def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
+    """SimHash of the shingles of a UTF-8 text; 0 without words."""
+    hashes = shingle_hashes(text, width)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         block = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
