@@ -191,6 +191,14 @@ def test_mix_meets_targets(spark):
     assert mixing.mix(docs.limit(0)).count() == mixing.mixed(docs.limit(0)).count() == 0
 
 
+def test_one_very_long_document_leaves_no_gap(spark):
+    rows = [(i * 1000 + j, "w " * (9_000 if j == 200 else 100), f"s{i}") for i in range(8) for j in range(201)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, weights=(1.0,), share=0.345)
+    sums = got.groupBy((F.col("doc_id") / 1000).cast("int").alias("s"), "target").agg(F.sum("taken").alias("n")).collect()
+    assert len(sums) == 8 and all(abs(r.n - r.target) <= 100 for r in sums)
+
+
 # ---- tokens
 
 

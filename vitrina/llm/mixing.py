@@ -17,8 +17,6 @@ from vitrina.llm.base import free_name, numbered, stored
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
-# Documents that may fill what is left of a source's words, besides a last one.
-FILLS = 3
 # Bins of the rank in each round.
 BINS = (64, 4096, 4096)
 # A table of sources is broadcast up to so many.
@@ -73,52 +71,60 @@ def by_source(rows: DataFrame, table: DataFrame) -> DataFrame:
     return rows.join(small, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
 
 
-def next_fill(beyond: DataFrame, fills: DataFrame, last: bool) -> DataFrame:
-    """Every source's ``fill`` with the largest of its documents ``beyond`` that fits into ``left``; at last, with the nearest.
+def in_spans(z: Column, size: Column) -> Column:
+    """Whether a row of a source is among those that its ``spans`` take: ranks from ``a`` to before ``b``, up to ``most`` words."""
+    return F.exists("spans", lambda s: (z >= s["a"]) & (z < s["b"]) & (size <= s["most"]))
 
-    A document longer than what is left is taken only at last, and only if that comes nearer than leaving the place empty.
-    """
-    open_ = by_source(beyond, fills).filter(~F.array_contains("fill", F.col("own")))
+
+def last_fill(rows: DataFrame, at: DataFrame) -> DataFrame:
+    """Every source's ``fill``: of the documents it has not taken, the one that brings it nearest to its target, if any does."""
     gap = F.abs(F.col("left") - F.col("words"))
-    open_ = open_.filter(gap < F.col("left")) if last else open_.filter(F.col("words") <= F.col("left"))
-    best = open_.groupBy("source").agg(F.min_by(F.struct("own", "words"), F.struct(gap, "own")).alias("b")).withColumnRenamed("source", "s")
-    joined = fills.join(best, F.col("source").eqNullSafe(F.col("s")), "left")
-    taken = F.col("b").isNotNull()
-    return joined.select(
-        "source", F.when(taken, F.col("left") - F.col("b.words")).otherwise(F.col("left")).alias("left"),
-        F.when(taken, F.array_append("fill", F.col("b.own"))).otherwise(F.col("fill")).alias("fill"))
+    rest = by_source(rows, at).filter(~in_spans(F.col("z"), F.col("size")) & (F.col("size") < 2 * F.col("left")))
+    rest = rest.groupBy("source", "left", F.struct("z", "id", "size").alias("own")).agg(F.sum("size").alias("words"))
+    return rest.filter(gap < F.col("left")).groupBy("source").agg(F.min_by("own", F.struct(gap, "own")).alias("fill"))
 
 
 def last_places(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per source: whole copies, the rank ``low`` before which documents get one more, and the documents that ``fill`` the rest.
+    """Per source: whole copies, the ``spans`` of ranks whose documents get one more, and a last document to ``fill`` the rest.
 
-    ``rows``: source, id, size, z. Bins of the rank are looked into further only where the words end; what is left there is less
-    than a document, and goes to a few later documents that fit. Rows alike in all four columns are taken together.
+    ``rows``: source, id, size, z. Bins of the rank are looked into further only where the words end. The documents in that place don't
+    fit; those after it that are no longer than what is left go on in rank order, until none is left that fits. What is left then
+    is less than any of them, and the nearest document may take it. Rows alike in all four columns are taken together.
     """
     whole = F.coalesce(F.floor(F.col("target") / F.nullif("source_size", F.lit(0))), F.lit(0)).cast("int")
     sources = targets.withColumn("whole", whole)
     want = F.col("target") - F.col("whole") * F.col("source_size")
-    at = stored(sources.select("source", F.lit(0.0).alias("low"), want.alias("left")), "ends")
-    rows, width = rows.filter("size > 0"), 1.0
-    for bins in BINS:
-        inside = by_source(rows, at).filter((F.col("z") >= F.col("low")) & (F.col("z") < F.col("low") + width))
-        width /= bins
-        place = F.least(F.floor((F.col("z") - F.col("low")) / width), F.lit(bins - 1))
-        sums = inside.groupBy("source", "low", "left", place.alias("bin")).agg(F.sum("size").alias("words"))
-        upto = F.sum("words").over(Window.partitionBy("source").orderBy("bin"))  # at most ``bins`` rows for a source
-        ends = sums.withColumn("before", upto - F.col("words")).filter(F.col("before") + F.col("words") > F.col("left"))
-        ends = ends.groupBy("source").agg(F.min_by(F.struct("low", "left", "bin", "before"), "bin").alias("e"))
-        low, left = F.col("e.low") + F.col("e.bin") * width, F.col("e.left") - F.col("e.before")
-        at = stored(ends.select("source", low.alias("low"), left.alias("left")), "ends")
-    own = F.struct("z", "id", "size")
-    kind = rows.select(own.alias("own")).schema["own"].dataType
-    beyond = by_source(rows, at).filter((F.col("z") >= F.col("low")) & (F.col("size") < 2 * F.col("left")))
-    beyond = stored(beyond.groupBy("source", own.alias("own")).agg(F.sum("size").alias("words")), "beyond")
-    fills = stored(at.select("source", "left", F.filter(F.array(F.lit(None).cast(kind)), F.isnotnull).alias("fill")), "fills")
-    for last in (*[False] * FILLS, True):
-        fills = stored(next_fill(beyond, fills, last), "fills")
+    none = F.array().cast("array<struct<a:double,b:double,most:double>>")
+    at = stored(sources.select("source", F.lit(0.0).alias("low"), want.alias("left"), none.alias("spans"), F.lit(True).alias("open")), "ends")
+    rows = rows.filter("size > 0")
+    while not at.filter("open").isEmpty():
+        start = at.filter("open").select("source", F.col("low").alias("begin"), F.col("left").alias("most"))
+        fits = by_source(rows, start).filter((F.col("z") >= F.col("begin")) & (F.col("size") <= F.col("most"))).drop("begin", "most")
+        ends, width = start.select("source", F.col("begin").alias("low"), F.col("most").alias("left")), 1.0
+        for bins in BINS:
+            inside = by_source(fits, ends).filter((F.col("z") >= F.col("low")) & (F.col("z") < F.col("low") + width))
+            width /= bins
+            place = F.least(F.floor((F.col("z") - F.col("low")) / width), F.lit(bins - 1))
+            sums = inside.groupBy("source", "low", "left", place.alias("bin")).agg(F.sum("size").alias("words"))
+            upto = F.sum("words").over(Window.partitionBy("source").orderBy("bin"))  # at most ``bins`` rows for a source
+            sums = sums.withColumn("before", upto - F.col("words"))
+            over = F.col("before") + F.col("words") > F.col("left")
+            if width * bins == 1.0:  # sources without such a place take all that fit
+                totals = stored(sums.groupBy("source").agg(F.sum("words").alias("all")), "totals")
+            ends = sums.filter(over).groupBy("source").agg(F.min_by(F.struct("low", "left", "bin", "before"), "bin").alias("e"))
+            low, left = F.col("e.low") + F.col("e.bin") * width, F.col("e.left") - F.col("e.before")
+            ends = stored(ends.select("source", low.alias("low"), left.alias("left")), "ends")
+        ends = ends.select(F.col("source").alias("s"), F.col("low").alias("end"), F.col("left").alias("rest"))
+        more = at.join(ends, F.col("source").eqNullSafe(F.col("s")) & F.col("open"), "left").withColumn("stop", F.col("end").isNotNull()).drop("s")
+        more = more.join(totals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")) & F.col("open"), "left").drop("s")
+        span = F.struct(F.col("low").alias("a"), F.coalesce("end", F.lit(1.0)).alias("b"), F.col("left").alias("most"))
+        span = span.cast("struct<a:double,b:double,most:double>")
+        left = F.when(F.col("stop"), F.col("rest")).otherwise(F.col("left") - F.coalesce("all", F.lit(0)))
+        at = stored(more.select(
+            "source", F.coalesce(F.col("end") + width, F.col("low")).alias("low"), F.when(F.col("open"), left).otherwise(F.col("left")).alias("left"),
+            F.when(F.col("open"), F.array_append("spans", span)).otherwise(F.col("spans")).alias("spans"), F.col("stop").alias("open")), "ends")
     places = sources.select(F.col("source"), "source_size", "target", "whole")
-    for more in (at.select("source", "low"), fills.select("source", "fill")):
+    for more in (at.select("source", "spans"), last_fill(rows, at.select("source", "left", "spans"))):
         more = more.withColumnRenamed("source", "source_")
         places = places.join(more, F.col("source").eqNullSafe(F.col("source_")), "left").drop("source_")
     return stored(places, "places")
@@ -139,7 +145,7 @@ def narrow(docs: DataFrame, key: str, seed: int) -> DataFrame:
 
 def taken_copies(rows: DataFrame, places: DataFrame) -> DataFrame:
     """Rows of ``narrow`` with what their source gets and the copies that the mix takes of them."""
-    chosen = (F.col("z") < F.col("low")) | F.array_contains("fill", F.struct("z", "id", "size"))
+    chosen = in_spans(F.col("z"), F.col("size")) | F.col("fill").eqNullSafe(F.struct("z", "id", "size"))
     more = F.when((F.col("size") > 0) & F.coalesce(chosen, F.lit(False)), 1).otherwise(0)
     return by_source(rows, places).withColumn("copies", F.col("whole") + more)
 
