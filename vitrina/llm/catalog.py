@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vitrina.llm import chat, mixing, mtree, packing, reputation, rptree, simhash, token_files, toxicity, warc
+from vitrina.llm import chat, lexical, mixing, mtree, packing, reputation, rptree, sharding, simhash, token_files, toxicity, variants, warc
 from vitrina.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,41 @@ def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("key").alias("page_id"), "warc_type", "record_id", field("WARC-Refers-To").alias("refers_to"),
         field("WARC-Target-URI").alias("target_uri"), field("WARC-Block-Digest").alias("block_digest"),
         field("Content-Length").cast("long").alias("content_length"), F.sha2("record", 256).alias("record_sha256"))
+
+
+@query("op11_reduced_alphabet")
+def op11_reduced_alphabet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(_table(spark, sf_dir, "documents"))
+
+
+@query("op12_external_shuffle")
+def op12_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the law of rows: counts at most one apart. Sizes and checksums are of the texts as read back from the shards."""
+    rows = sharding.write_shards(_table(spark, sf_dir, "documents"), scratch_path(spark, "shards"))
+    return rows.select(
+        "doc_id", sharding.text_size(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+# Terms of a text, and the rows of them; numbers of rows stand for documents, since ids may repeat.
+_TERMS_SQL = r"""unnest(regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term"""
+
+
+@query("op13_max_sketch", f"""
+WITH rows AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) AS d, doc_id, text FROM documents),
+held AS MATERIALIZED (SELECT d, term, count(*) AS tf FROM (SELECT d, {_TERMS_SQL.format("text")} FROM rows) GROUP BY ALL),
+sizes AS MATERIALIZED (SELECT d, CAST(sum(tf) AS BIGINT) AS n FROM held GROUP BY d),
+totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM sizes),
+norms AS MATERIALIZED (SELECT d, 100 - 25 + ((25 * n * docs) // length) AS m FROM sizes, totals),
+asked AS MATERIALIZED (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, {_TERMS_SQL.format("text")} FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+weights AS MATERIALIZED (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w
+  FROM held, totals WHERE term IN (SELECT term FROM asked) GROUP BY term, docs),
+scores AS (SELECT item_id, d, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN held USING (term) JOIN norms USING (d) GROUP BY item_id, d),
+ranked AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM scores JOIN rows USING (d) WHERE score > 0)
+SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score FROM ranked WHERE r <= 20""")
+def op13_max_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build_index(_table(spark, sf_dir, "documents"))
+    found = lexical.top_k(index, _table(spark, sf_dir, "benchmark"), k=20)
+    return found.select(F.col("query").alias("item_id"), "rank", F.col("key").alias("doc_id"), "score")
