@@ -28,7 +28,7 @@ MOST = 255
 # A block of queries: about so many rows and so many bytes of text.
 BLOCK_ROWS = 1024
 BLOCK_BYTES = 4 << 20
-# Cells (term of a query, document) that are summed at once.
+# Cells (term of a query, document) that are looked up at once.
 CELLS = 4_000_000
 # ASCII letters and digits, A-Z lower-cased, and all bytes of other characters stay; the rest parts terms.
 _FOLD = bytes(ord(chr(b).lower()) if b > 127 or chr(b).isalnum() else 32 for b in range(128)) + bytes(range(128, 256))
@@ -48,8 +48,9 @@ def sketch(counts: Counter, remembered: dict[bytes, int]) -> bytes:
     width = LEAST_WIDTH
     while width < SPARSITY * len(counts):
         width *= 2
-    for term in counts.keys() - remembered.keys():
-        remembered[term] = coordinate(term)
+    for term in counts:
+        if term not in remembered:
+            remembered[term] = coordinate(term)
     at = np.fromiter(map(remembered.__getitem__, counts), np.uint64, len(counts)) & np.uint64(width - 1)
     out = np.zeros(width, np.uint8)
     np.maximum.at(out, at.astype(np.int64), np.minimum(np.fromiter(counts.values(), np.int64, len(counts)), MOST).astype(np.uint8))
@@ -90,12 +91,27 @@ class Block(NamedTuple):
     of: list[dict[bytes, int]]
 
     def lists(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Terms of all queries in a row, the weight of each times its count, and where each query begins."""
+        """Queries of each term, one term after the other, with weight times count; and where each term's queries begin, and end."""
         place = {t: i for i, t in enumerate(self.terms)}
-        flat = np.array([place[t] for q in self.of for t in q], np.int64)
+        term = np.array([place[t] for q in self.of for t in q], np.int64)
+        query = np.repeat(np.arange(len(self.of)), [len(q) for q in self.of])
         times = np.array([c for q in self.of for c in q.values()], np.int64)
-        starts = np.cumsum([0, *(len(q) for q in self.of[:-1])])
-        return flat, weights[flat] * times, starts
+        order = np.argsort(term, kind="stable")
+        starts = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
+        return query[order], (weights[term] * times)[order], starts
+
+
+def upper_bounds(tf: np.ndarray, norms: np.ndarray, lists: tuple[np.ndarray, np.ndarray, np.ndarray], queries: int) -> np.ndarray:
+    """No less than the score of each query (row) on each document (column), from the counts at the terms' coordinates."""
+    query, factor, starts = lists
+    term, doc = np.nonzero(tf)
+    many = tf[term, doc].astype(np.int64)
+    impact = np.where(many == MOST, 1_000_000, 1_000_000_000 * many // (1000 * many + 12 * norms[doc]))
+    each = (starts[1:] - starts[:-1])[term]
+    at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each - starts[term], each)
+    cell = query[at] * tf.shape[1] + np.repeat(doc, each)
+    sums = np.bincount(cell, factor[at] * np.repeat(impact, each).astype(float), queries * tf.shape[1])
+    return sums.reshape(queries, -1) * (1 + 1e-9)  # above what rounding takes off sums of many terms
 
 
 def query_blocks(queries: DataFrame, key: str, text: str) -> Iterator[Block]:
@@ -165,7 +181,7 @@ def _searched(index: DataFrame, block: Block, k: int, docs: int, length: int, ki
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, weights = sent.value
-        flat, factors, starts = block.lists(weights)
+        lists = block.lists(weights)
         hashed = np.array([coordinate(t) for t in block.terms], np.uint64)
         weight = dict(zip(block.terms, weights.tolist()))
         best: list[list[tuple]] = [[] for _ in block.ids]  # heaps: the k-th best first
@@ -186,14 +202,10 @@ def _searched(index: DataFrame, block: Block, k: int, docs: int, length: int, ki
             for width in np.unique(widths):
                 alike = np.flatnonzero(widths == width)
                 at = (hashed & np.uint64(width - 1)).astype(np.int64)
-                step = max(1, CELLS // max(1, len(flat)))
+                step = max(1, CELLS // len(at))
                 for rows in (alike[i : i + step] for i in range(0, len(alike), step)):
-                    tf = np.stack([np.frombuffer(sketches[r], np.uint8)[at] for r in rows], axis=1).astype(np.int64)
-                    impact = np.zeros_like(tf)
-                    term, doc = np.nonzero(tf)
-                    many = tf[term, doc]
-                    impact[term, doc] = np.where(many == MOST, 1_000_000, 1_000_000_000 * many // (1000 * many + 12 * norms[rows[doc]]))
-                    bounds = np.add.reduceat(impact[flat] * factors[:, None], starts, axis=0)
+                    tf = np.stack([np.frombuffer(sketches[r], np.uint8)[at] for r in rows], axis=1)
+                    bounds = upper_bounds(tf, norms[rows], lists, len(best))
                     for q in np.flatnonzero((bounds >= least[:, None]).any(axis=1)).tolist():
                         heap = best[q]
                         for d in np.argsort(-bounds[q], kind="stable").tolist():
