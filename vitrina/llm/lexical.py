@@ -12,10 +12,10 @@ from collections import Counter
 from collections.abc import Iterator
 from heapq import heappush, heapreplace
 from typing import NamedTuple
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from vitrina.llm.base import small_batches, stored
@@ -39,21 +39,16 @@ def terms_of(text: bytes | None) -> list[bytes]:
     return text.translate(_FOLD).split() if text else []
 
 
-def coordinate(term: bytes) -> int:
-    return xxhash.xxh64_intdigest(term, 13)
-
-
-def sketch(counts: Counter, remembered: dict[bytes, int]) -> bytes:
+def sketch(counts: Counter) -> bytes:
     """Coordinatewise largest count, at most ``MOST``, over a power of two of coordinates."""
     width = LEAST_WIDTH
     while width < SPARSITY * len(counts):
         width *= 2
-    for term in counts:
-        if term not in remembered:
-            remembered[term] = coordinate(term)
-    at = np.fromiter(map(remembered.__getitem__, counts), np.uint64, len(counts)) & np.uint64(width - 1)
+    at = np.fromiter(map(crc32, counts), np.uint32, len(counts)) & np.uint32(width - 1)
+    many = np.minimum(np.fromiter(counts.values(), np.int64, len(counts)), MOST)
+    order = np.argsort(many, kind="stable")
     out = np.zeros(width, np.uint8)
-    np.maximum.at(out, at.astype(np.int64), np.minimum(np.fromiter(counts.values(), np.int64, len(counts)), MOST).astype(np.uint8))
+    out[at[order]] = many[order]  # of several values for one place, the last stays
     return out.tobytes()
 
 
@@ -65,16 +60,13 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     rows = docs.select(F.col(key).alias("key"), F.encode(text, "utf-8").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        remembered: dict[bytes, int] = {}
         for batch in batches:
-            if len(remembered) > 1 << 18:
-                remembered.clear()
             found = [Counter(terms_of(t.as_py())) for t in batch["text"]]
             some = [i for i, c in enumerate(found) if c]
             found = [found[i] for i in some]
             yield pa.record_batch([
                 batch["key"].take(pa.array(some, pa.int64())), pa.array([c.total() for c in found], pa.int64()),
-                pa.array([sketch(c, remembered) for c in found], pa.binary()), pa.array([b" ".join(c) for c in found], pa.binary()),
+                pa.array([sketch(c) for c in found], pa.binary()), pa.array([b" ".join(c) for c in found], pa.binary()),
                 pa.array([np.fromiter(c.values(), "<u4", len(c)).tobytes() for c in found], pa.binary()),
             ], ["key", "n", "sketch", "terms", "counts"])
 
@@ -177,12 +169,12 @@ def _searched(index: DataFrame, block: Block, k: int, docs: int, length: int, ki
     """``(query, number, key, score)``: each task's ``k`` best documents of each query of the block."""
     weights = term_weights(index, block.terms, docs)
     sent = index.sparkSession.sparkContext.broadcast((block, weights))
-    small_batches(index.sparkSession)
+    small_batches(index.sparkSession, 2048)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, weights = sent.value
         lists = block.lists(weights)
-        hashed = np.array([coordinate(t) for t in block.terms], np.uint64)
+        hashed = np.array([crc32(t) for t in block.terms], np.uint32)
         weight = dict(zip(block.terms, weights.tolist()))
         best: list[list[tuple]] = [[] for _ in block.ids]  # heaps: the k-th best first
         least = np.ones(len(block.ids), np.int64)  # what a bound must reach
@@ -191,37 +183,39 @@ def _searched(index: DataFrame, block: Block, k: int, docs: int, length: int, ki
             norms = np.array([norm(n, docs, length) for n in batch["n"].to_pylist()], np.int64)
             sketches = [s.as_buffer() for s in batch["sketch"]]
             widths = np.array([s.size for s in sketches])
+            terms, counts = batch["terms"], batch["counts"]
             parsed: dict[int, dict[bytes, int]] = {}
 
             def counts_of(row: int) -> dict[bytes, int]:
                 if row not in parsed:
-                    counts = np.frombuffer(batch["counts"][row].as_py(), "<u4").tolist()
-                    parsed[row] = dict(zip(batch["terms"][row].as_py().split(), counts))
+                    times = np.frombuffer(counts[row].as_buffer(), "<u4").tolist()
+                    parsed[row] = {t: n for t, n in zip(terms[row].as_py().split(), times) if t in weight}
                 return parsed[row]
 
+            bounds = np.zeros((len(best), len(keys)))
             for width in np.unique(widths):
                 alike = np.flatnonzero(widths == width)
-                at = (hashed & np.uint64(width - 1)).astype(np.int64)
+                at = (hashed & np.uint32(width - 1)).astype(np.int64)
                 step = max(1, CELLS // len(at))
                 for rows in (alike[i : i + step] for i in range(0, len(alike), step)):
                     tf = np.stack([np.frombuffer(sketches[r], np.uint8)[at] for r in rows], axis=1)
-                    bounds = upper_bounds(tf, norms[rows], lists, len(best))
-                    for q in np.flatnonzero((bounds >= least[:, None]).any(axis=1)).tolist():
-                        heap = best[q]
-                        for d in np.argsort(-bounds[q], kind="stable").tolist():
-                            if bounds[q, d] < least[q]:
-                                break
-                            row = int(rows[d])
-                            score = exact_score(block.of[q], weight, counts_of(row), int(norms[row]))
-                            entry = _Entry(score, keys[row])
-                            if score < 1:
-                                continue
-                            if len(heap) < k:
-                                heappush(heap, entry)
-                            elif heap[0] < entry:
-                                heapreplace(heap, entry)
-                            if len(heap) == k:
-                                least[q] = heap[0].score
+                    bounds[:, rows] = upper_bounds(tf, norms[rows], lists, len(best))
+            for q in np.flatnonzero((bounds >= least[:, None]).any(axis=1)).tolist():
+                heap, asked = best[q], block.of[q]
+                open_ = np.flatnonzero(bounds[q] >= least[q])
+                for row in open_[np.argsort(-bounds[q, open_], kind="stable")].tolist():
+                    if bounds[q, row] < least[q]:
+                        break
+                    score = exact_score(asked, weight, counts_of(row), int(norms[row]))
+                    if score < least[q]:
+                        continue
+                    entry = _Entry(score, keys[row])
+                    if len(heap) < k:
+                        heappush(heap, entry)
+                    elif heap[0] < entry:
+                        heapreplace(heap, entry)
+                    if len(heap) == k:
+                        least[q] = heap[0].score
         rows = [(block.ids[q], block.first + q, e.key, e.score) for q, heap in enumerate(best) for e in heap]
         columns = list(zip(*rows)) or [()] * 4
         yield pa.record_batch(
