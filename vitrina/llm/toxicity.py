@@ -34,7 +34,7 @@ PASSAGE = 4
 # Kinds of letters that are told apart, the commonest; others are one.
 ALPHABET = 1000
 TOXIC_FROM = 0.7
-# Words whose letters are counted at once on the driver.
+# Words whose letters are counted at once.
 COUNTED_WORDS = 1 << 15
 # Words in a generation of a worker's memory; bounds its size, not the result.
 CACHE_WORDS = 1 << 17
@@ -160,14 +160,20 @@ def labelled_sample(labels: DataFrame, key: str, label: str) -> DataFrame:
     rows = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & ~F.coalesce(held_out(F.col(key)), F.lit(True)))
     rows = rows.groupBy(F.col(key).alias("key")).agg((F.max(label) > 0).cast("int").alias("toxic"))
     rows = rows.withColumn("h", F.xxhash64(F.lit("labelled"), "key")).withColumn("fit", F.pmod("h", F.lit(3)) != 2)
+    rows = stored(rows, "labels")
+    limit = F.when(F.col("fit"), FIT_ROWS).otherwise(CALIBRATION_ROWS)
+    # hashes are even over their range, so a share of it holds several times the rows wanted, at any number of rows
+    reach = F.lit(None).cast("double")
+    for toxic, fit_, n in rows.groupBy("toxic", "fit").count().collect():  # four rows
+        share = min(1.0, (4 * max(FIT_ROWS, CALIBRATION_ROWS) + 1000) / n)
+        reach = F.when((F.col("toxic") == toxic) & (F.col("fit") == fit_), (2 * share - 1) * 2.0**63).otherwise(reach)
     place = F.row_number().over(Window.partitionBy("toxic", "fit").orderBy("h", "key"))
-    bound = max(FIT_ROWS, CALIBRATION_ROWS)
-    rows = rows.withColumn("place", place).filter(F.col("place") <= bound)
-    return rows.filter(F.col("place") <= F.when(F.col("fit"), FIT_ROWS).otherwise(CALIBRATION_ROWS)).select("key", "toxic", "fit")
+    rows = rows.filter(F.col("h") <= reach).withColumn("place", place)
+    return rows.filter(F.col("place") <= limit).select("key", "toxic", "fit")
 
 
-def word_counts(texts: DataFrame) -> pd.DataFrame:
-    """``(toxic, word, n)``: in how many fitted texts of each class a word occurs; bounded by ``FIT_ROWS`` texts of each."""
+def word_counts(texts: DataFrame) -> DataFrame:
+    """``(toxic, word, n)``: in how many fitted texts of each class a word occurs, as a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,7 +184,14 @@ def word_counts(texts: DataFrame) -> pd.DataFrame:
             yield pa.record_batch([pa.array(kinds, pa.int32()), pa.array(words, pa.string()), pa.array(found.values(), pa.int64())], ["toxic", "word", "n"])
 
     rows = texts.select("toxic", "text").mapInArrow(run, "toxic int, word string, n long")
-    return rows.groupBy("toxic", "word").agg(F.sum("n").alias("n")).toPandas()
+    return stored(rows.groupBy("toxic", "word").agg(F.sum("n").alias("n")), "labelled-words")
+
+
+def listed_letters(words: DataFrame) -> Letters:
+    """The ``ALPHABET`` commonest letters, ties to the smaller."""
+    letters = words.select(F.explode(F.split("word", "")).alias("letter"), "n").groupBy("letter").agg(F.sum("n").alias("n"))
+    listed = letters.orderBy(F.desc("n"), "letter").limit(ALPHABET).collect()
+    return Letters(np.array(sorted(ord(r.letter) for r in listed), np.int64))
 
 
 def shared_pairs(docs: DataFrame, letters: Letters) -> np.ndarray:
@@ -207,39 +220,56 @@ def pair_probability(pairs: np.ndarray) -> np.ndarray:
     return np.where(total > 0, (np.maximum(pairs - DISCOUNT, 0) + spread) / np.maximum(total, 1), single / single.sum()).ravel()
 
 
-def gram_counts(letters: Letters, words: list[str], n: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Grams of an order in one class's words, and their counts: texts for the longest order, else the different letters before.
+def gram_counts(words: DataFrame, letters: Letters) -> pd.DataFrame:
+    """``(order, toxic, gram, n)``: grams of each order above the shared one in each class's words, summed in the tasks first.
 
-    A gram that begins a word has no letter before it and counts once for each word. Words are taken in turns to spare memory.
+    The longest order counts texts, the others the different letters before a gram; a gram that begins a word has none before it and
+    counts once for each word. What reaches the driver are the different grams of the bounded sample.
     """
-    base, longest = letters.base, order == ORDER
-    grams, counts, longer = [], [], []
-    for low in range(0, len(words), COUNTED_WORDS):
-        numbers, depth = letters.of_words(words[low : low + COUNTED_WORDS])
-        at = np.flatnonzero(depth >= order if longest else depth == order)
-        word = np.cumsum(numbers[:-1] == 0) - 1
-        found, place = np.unique(codes(numbers, at + 1, order, base), return_inverse=True)
-        grams.append(found)
-        counts.append(np.bincount(place, n[low + word[at]] if longest else None, minlength=len(found)))
-        if not longest:
-            longer.append(np.unique(codes(numbers, np.flatnonzero(depth > order) + 1, order + 1, base)))
-    if longer:
-        found, more = np.unique(np.unique(np.concatenate(longer)) % base**order, return_counts=True)
-        grams.append(found)
-        counts.append(more)
-    found, place = np.unique(np.concatenate([np.zeros(0, np.int64), *grams]), return_inverse=True)
-    return found, np.bincount(place, np.concatenate([np.zeros(0), *counts]), minlength=len(found))
-
-
-def fit_levels(letters: Letters, counted: pd.DataFrame, pairs: np.ndarray) -> dict[int, Level]:
+    shared = words.sparkSession.sparkContext.broadcast(letters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters = shared.value
+        for batch in batches:
+            kinds, texts, times = batch["toxic"].to_numpy(), batch["word"].to_numpy(zero_copy_only=False), batch["n"].to_numpy()
+            for toxic in np.unique(kinds):
+                mine = np.flatnonzero(kinds == toxic)
+                numbers, depth = letters.of_words(texts[mine].tolist())
+                word = np.cumsum(numbers[:-1] == 0) - 1
+                for order in range(SHARED_ORDER + 1, ORDER + 1):
+                    at = np.flatnonzero(depth >= order if order == ORDER else depth == order)
+                    found, place = np.unique(codes(numbers, at + 1, order, letters.base), return_inverse=True)
+                    n = np.bincount(place, times[mine][word[at]] if order == ORDER else None, minlength=len(found)).astype(np.int64)
+                    yield emit(toxic, order, False, found, n)
+                    if order < ORDER:
+                        found = np.unique(codes(numbers, np.flatnonzero(depth > order) + 1, order + 1, letters.base))
+                        yield emit(toxic, order, True, found, np.ones(len(found), np.int64))
+
+    def emit(toxic: int, order: int, longer: bool, gram: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        same = [pa.array(np.full(len(gram), v), t) for v, t in ((toxic, pa.int32()), (order, pa.int32()), (longer, pa.bool_()))]
+        return pa.record_batch([*same, pa.array(gram, pa.int64()), pa.array(n)], ["toxic", "order", "longer", "gram", "n"])
+
+    small_batches(words.sparkSession, COUNTED_WORDS)
+    rows = words.select("toxic", "word", "n").mapInArrow(run, "toxic int, order int, longer boolean, gram long, n long")
+    rows = stored(rows.groupBy("toxic", "order", "longer", "gram").agg(F.sum("n").alias("n")), "grams")
+    small_batches(words.sparkSession)
+    size = F.lit(None).cast("long")
+    for order in range(SHARED_ORDER + 1, ORDER):
+        size = F.when(F.col("order") == order, F.lit(letters.base**order)).otherwise(size)
+    before = rows.filter("longer").select("toxic", "order", (F.col("gram") % size).alias("gram"), F.lit(1).cast("long").alias("n"))
+    counted = rows.filter("not longer").select("toxic", "order", "gram", "n").unionByName(before)
+    return counted.groupBy("order", "toxic", "gram").agg(F.sum("n").alias("n")).toPandas().sort_values("gram")
+
+
+def fit_levels(letters: Letters, grams_of: pd.DataFrame, pairs: np.ndarray) -> dict[int, Level]:
     """Interpolated Kneser-Ney probabilities of both classes from the shared pairs up, as ratios."""
     base, levels = letters.base, {}
     below = [np.arange(base**SHARED_ORDER), *[pair_probability(pairs)] * 2]
     for order in range(SHARED_ORDER + 1, ORDER + 1):
         own = []
         for toxic in (1, 0):
-            rows = counted[counted["toxic"] == toxic]
-            own.append(gram_counts(letters, rows["word"].tolist(), rows["n"].to_numpy(float), order))
+            rows = grams_of[(grams_of["order"] == order) & (grams_of["toxic"] == toxic)]
+            own.append((rows["gram"].to_numpy(np.int64), rows["n"].to_numpy(float)))
         grams = np.union1d(own[0][0], own[1][0])
         histories, of = np.unique(grams // base, return_inverse=True)
         at, _ = find(below[0], grams % base ** (order - 1))
@@ -264,13 +294,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "t
     texts = docs.select(F.col(key).alias("key"), "text").join(F.broadcast(sample), "key")  # bounded by the two limits
     texts = stored(texts, "labelled")
     share = labels.filter(~held_out(F.col(key))).agg(F.avg((F.col(label) > 0).cast("double"))).first()[0] or 0.0
-    counted = word_counts(texts.filter("fit"))
-    common = Counter()
-    for word, n in counted.groupby("word")["n"].sum().items():
-        common.update({letter: n for letter in word})
-    listed = sorted(ord(c) for c, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET])
-    letters = Letters(np.array(listed, np.int64))
-    levels = fit_levels(letters, counted, shared_pairs(docs, letters))
+    words = word_counts(texts.filter("fit"))
+    letters = listed_letters(words)
+    levels = fit_levels(letters, gram_counts(words, letters), shared_pairs(docs, letters))
     model = Model(letters, levels, np.zeros(4), float(share))
     return model._replace(weights=calibrate(texts.filter("not fit"), model, float(share)))
 
@@ -338,7 +364,11 @@ def detect(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
 
 
 def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic") -> DataFrame:
-    """The rows whose score stays below ``TOXIC_FROM``, all columns as they were."""
+    """The rows whose score stays below ``TOXIC_FROM``, all columns as they were, whatever their names.
+
+    Rows without a text, or with an empty one, score the share of toxic labels, and a null key changes nothing; repeated rows and
+    rows of equal texts stay or go together. An empty table, or labels of one kind only, are allowed.
+    """
     model = fit(docs, labels, key, label)
     score = free_name(docs, "score")
     return docs.withColumn(score, score_column(docs, model)).filter(F.col(score) < TOXIC_FROM).drop(score)
