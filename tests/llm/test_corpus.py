@@ -344,3 +344,17 @@ def test_pipeline_stages_follow_their_operators(spark):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     expected = sum(len(library.encode(r.text, add_special_tokens=False).ids) + 1 for r in mixed.collect())
     assert pieces.agg(F.sum("length")).first()[0] == expected
+
+
+def test_stages_stand_odd_tables(spark):
+    """Null keys, empty tables and columns with the operators' own names."""
+    said = "one two three four five six"
+    rows = [(None, said, None, "s"), (1, said, "a", "s"), (1, said, "a", "s"), (2, None, None, "t"), (3, "", "a", "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size string")
+    for table in (docs, docs.limit(0)):
+        kept = corpus_pipeline.drop_near_copies(spark, table, None)
+        mixed = corpus_pipeline.mix_sources(spark, kept, None)
+        pieces = corpus_pipeline.pack_sequences(spark, mixed, None)
+        assert kept.columns == mixed.columns == docs.columns
+        assert kept.count() == (2 if table is docs else 0)  # the texts with words, and those without
+        assert pieces.filter("doc_id = 1").isEmpty() == (table is not docs)
