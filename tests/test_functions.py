@@ -1,4 +1,5 @@
 import datetime
+import random
 
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -88,4 +89,21 @@ def test_common_length_is_the_longest_common_subsequence(a, b):
     for i, x in enumerate(a):
         for j, y in enumerate(b):
             table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
-    assert similarity._common_length(similarity._letter_masks(a), len(a), b) == table[-1][-1]
+    assert similarity.indel_ratios([a], [b])[0] == (200.0 * table[-1][-1] / (len(a) + len(b)) if a or b else 100.0)
+
+
+def test_ratios_of_a_batch_equal_those_of_each_pair():
+    rng = random.Random(5)
+    some = lambda: "".join(rng.choices("abcdé 😀", k=rng.choice([0, 1, 5, 63, 64, 65, 127, 128, 129, 300])))
+    left, right = zip(*((some(), some()) for _ in range(400)))
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+        return 200.0 * row[-1] / (len(a) + len(b)) if a or b else 100.0
+
+    assert similarity.indel_ratios(list(left), list(right)).tolist() == [plain(a, b) for a, b in zip(left, right)]
+    assert similarity.indel_ratios([], []).tolist() == []

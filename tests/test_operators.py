@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from vitrina.functions.similarity import _common_length, _letter_masks
+from vitrina.functions.similarity import indel_ratios
 from vitrina.operators import density, embeddings, features, lookup, matching, quality, quantiles, recommend, reviews, series, stats
 
 
@@ -68,7 +68,7 @@ def test_brand_join_duplicate_policies(spark):
 
 
 def _ratio(a, b):
-    return 100.0 if not a and not b else 200.0 * _common_length(_letter_masks(a), len(a), b) / (len(a) + len(b))
+    return indel_ratios([a], [b])[0]
 
 
 def _greedy(items, threshold, max_gap, last):
@@ -105,6 +105,23 @@ def test_similarity_join_loses_no_pair(spark):
         assert found == {(a, b) for a in texts for b in texts if a < b and _ratio(a, b) >= threshold}
 
 
+def test_price_cells_form_pairs_at_most_twice(spark):
+    """Every pair within the gap meets; those that meet are at most two gaps apart, in one or two cells."""
+    rng = random.Random(8)
+    prices = [rng.random() for _ in range(300)] + [0.3, 0.45, 0.6, None, float("nan")]
+    df = spark.createDataFrame([(i, f"text {i}", p) for i, p in enumerate(prices)], "item long, text string, price double")
+    keyed = matching.cell_keys(df, 0.15)
+    cells = {r["item"]: set(r["_keys"]) for r in keyed.collect()}
+    close = [(a, b) for a in range(303) for b in range(a) if abs(prices[a] - prices[b]) <= 0.15]
+    assert all(cells[a] & cells[b] for a, b in close) and not cells[303] and not cells[304]
+    formed = sum(len(cells[a] & cells[b]) for a in cells for b in range(a))
+    met = sum(bool(cells[a] & cells[b]) for a in cells for b in range(a))
+    assert formed == matching._candidate_pairs(keyed) and formed <= 2 * met
+    assert all(abs(prices[a] - prices[b]) <= 0.31 for a in range(303) for b in range(a) if cells[a] & cells[b])
+    # a lone price needs no cells by text, and the other way round
+    assert set(matching.blocking_keys(df.filter("item < 50"), 75, 0.15).columns) == {"item", "text", "price", "_keys"}
+
+
 def test_number_rows_is_consecutive(spark):
     df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("v"))
     assert all(r["v"] == r["n"] for r in matching.number_rows(df, ["v"], "n").collect())

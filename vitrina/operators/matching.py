@@ -66,12 +66,36 @@ def prefix_keys(items: DataFrame, threshold: float) -> DataFrame:
     return items.join(keys, "text")
 
 
+def cell_keys(items: DataFrame, max_gap: float) -> DataFrame:
+    """Blocking keys in an array column ``_keys`` by price alone: prices at most ``max_gap`` apart share one or two cells.
+
+    A cell is as wide as the gap and each item joins its own and the next. Items without a price have no key, as they have no pair.
+    """
+    cell = F.floor(F.col("price") / (max_gap + 1e-9))
+    finite = F.col("price").isNotNull() & (F.abs("price") < float("inf"))
+    return items.withColumn("_keys", F.when(finite, F.array(cell, cell + 1)).otherwise(F.array().cast("array<bigint>")))
+
+
+def blocking_keys(items: DataFrame, threshold: float, max_gap: float | None = None) -> DataFrame:
+    """Items with keys that lose no pair: by text, or with ``max_gap`` by price cell or by text and cell, whichever forms fewer pairs.
+
+    At a low threshold a text must keep so many keys that most pairs share several of them; the cells then form each pair once or
+    twice, within the gap only.
+    """
+    if max_gap is None:
+        return cut_lineage(prefix_keys(items, threshold))
+    cells = cut_lineage(cell_keys(items, max_gap))
+    both = F.flatten(F.transform("_cells", lambda c: F.transform("_keys", lambda k: F.xxhash64(k, c))))
+    texts = cut_lineage(prefix_keys(cells.withColumnRenamed("_keys", "_cells"), threshold).withColumn("_keys", both).drop("_cells"))
+    return texts if _candidate_pairs(texts) < _candidate_pairs(cells) else cells
+
+
 def similar_pairs(
     left: DataFrame, right: DataFrame, threshold: float, max_gap: float | None = None
 ) -> DataFrame:
     """Pairs ``(a, b, ratio)`` of item orders with text similarity of at least ``threshold``.
 
-    Both sides come from ``prefix_keys`` with columns ``item, text`` (and ``price`` with ``max_gap``).
+    Both sides come from ``blocking_keys`` with columns ``item, text`` (and ``price`` with ``max_gap``).
     A pair is formed at the first key the two share, so it arises once; length band and the built-in
     edit distance, neither of which can lose a pair, thin the candidates before the exact ratio.
     """
@@ -97,7 +121,7 @@ def similar_pairs(
 
 def similarity_self_join(items: DataFrame, threshold: float = 85, max_gap: float | None = None) -> DataFrame:
     """All pairs of items (earlier, later, ratio) at least ``threshold`` similar, price gap within ``max_gap``."""
-    keyed = cut_lineage(prefix_keys(items, threshold))
+    keyed = blocking_keys(items, threshold, max_gap)
     return similar_pairs(keyed, keyed, threshold, max_gap)
 
 
@@ -171,7 +195,7 @@ def leader_groups(
 
     ``items`` has ``item`` (unique, in the order of processing), ``text`` and, with ``max_gap``, ``price``.
     """
-    keyed = cut_lineage(prefix_keys(items, threshold))
+    keyed = blocking_keys(items, threshold, max_gap)
     return greedy_groups(keyed, lambda a, b: similar_pairs(a, b, threshold, max_gap), assign, block)
 
 
@@ -203,12 +227,6 @@ def number_groups(groups: DataFrame, name: str = "group_id") -> DataFrame:
     return groups.join(numbers, "leader", "left")
 
 
-def group_of(df: DataFrame, column: str, groups: DataFrame, name: str = "group_id") -> DataFrame:
-    """Group number of each row's text; -1 when it belongs to none."""
-    known = groups.select(F.col("item").alias(column), name)
-    return df.join(known, column, "left").withColumn(name, F.coalesce(name, F.lit(-1)))
-
-
 def group_report(**methods: DataFrame) -> DataFrame:
     """One row per group number: the members under each method, joined by ``"; "``, empty where it has fewer groups."""
     report = None

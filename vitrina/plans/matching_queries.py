@@ -87,8 +87,27 @@ def _priced_parts(spark, sf_dir):
     return scaled.select(F.col("p_partkey").alias("item"), joined.alias("text"), F.col("p_retailprice_scaled").alias("price"))
 
 
-# No SQL: the edit distance of all pairs takes minutes; the tests compare with the sequential pass.
-@query("match_products")
+# Prices lie on a scale from 0 to 1; pairs further apart than the gap never meet.
+_PRICED_SQL = """items AS MATERIALIZED (SELECT p_partkey AS item, p_type || ' ' || p_name || 'equipment' || p_brand AS text,
+  (p_retailprice - min(p_retailprice) OVER ()) / (max(p_retailprice) OVER () - min(p_retailprice) OVER ()) AS price FROM part)"""
+
+
+# As above, with the bits of each text's letters made once for the text instead of once for each pair.
+_MASKED_SQL = """
+letters AS (SELECT text, text[k] AS letter, sum(1::HUGEINT << (k - 1)) AS bits
+  FROM (SELECT text, unnest(range(1, length(text) + 1)) AS k FROM (SELECT DISTINCT text FROM items)) GROUP BY ALL),
+masks AS MATERIALIZED (SELECT text, map_from_entries(list((letter, CAST(bits AS HUGEINT)))) AS bits FROM letters GROUP BY text),
+close AS MATERIALIZED (SELECT x.item AS i, y.item AS j, x.text AS a, y.text AS b FROM items x JOIN items y ON x.item < y.item
+  AND 2 * least(length(x.text), length(y.text)) >= 0.75 * (length(x.text) + length(y.text)) AND abs(x.price - y.price) <= 0.15
+  AND levenshtein(x.text, y.text) <= 0.25 * (length(x.text) + length(y.text)) + 1e-9),
+rated AS MATERIALIZED (SELECT a, b, 200.0::DOUBLE * (length(b) - bit_count(list_reduce(list_prepend((1::HUGEINT << length(b)) - 1,
+  list_transform(range(1, length(a) + 1), lambda i: coalesce(map_extract_value(bits, a[i]), 0::HUGEINT))),
+  lambda v, m: ((v + (v & m)) | (v - (v & m))) & ((1::HUGEINT << length(b)) - 1)))) / (length(a) + length(b)) AS ratio
+  FROM (SELECT DISTINCT a, b FROM close) JOIN masks ON masks.text = b),
+edges AS MATERIALIZED (SELECT i, j FROM close JOIN rated USING (a, b) WHERE ratio >= 75)"""
+
+
+@query("match_products", f"WITH RECURSIVE {_PRICED_SQL},{_MASKED_SQL},{_SEQUENTIAL_SQL.format(pick='max')} SELECT item, leader FROM grouped")
 def _(spark, sf_dir):
     return matching.match_products(_priced_parts(spark, sf_dir))
 
