@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitrina.functions.similarity import indel_ratios
-from vitrina.operators import density, embeddings, features, lookup, matching, quality, quantiles, recommend, reviews, series, stats
+from vitrina.operators import decompose, density, embeddings, features, lookup, matching, quality, quantiles, recommend, reviews, series, stats
 
 
 def test_exact_quantiles_match_numpy(spark):
@@ -210,3 +210,27 @@ def test_batch_score_survives_bad_texts(spark):
 
     df = spark.createDataFrame([("a",), ("bad",), (" ",), (None,)], "t string").coalesce(1)
     assert [r["l"] for r in reviews.batch_score(df, "t", make_model, "l").collect()] == ["A", None, None, None]
+
+
+@pytest.mark.parametrize("terms,components", [(12, 50), (40, 30)])
+def test_singular_values_equal_numpy(spark, monkeypatch, terms, components):
+    rng = np.random.default_rng(terms)
+    matrix = rng.random((150, terms)) * (rng.random((150, terms)) < 0.2)
+    matrix[5] = matrix[6]
+    matrix[:, 3] = matrix[:, 4]
+    rows = [(int(i), f"t{j}", float(matrix[i, j])) for i, j in zip(*np.nonzero(matrix))]
+    found = decompose.truncated_svd(spark.createDataFrame(rows, "id long, term string, weight double"), components, rounds=60)
+    expected = np.linalg.svd(matrix, compute_uv=False)
+    rank = min(components, int((expected > 1e-9).sum()))
+    assert np.allclose(found.values, expected[:rank], rtol=1e-6)
+    got = {r["id"]: np.array(r["reduced"]) for r in found.rows.collect()}
+    u, s, _ = np.linalg.svd(matrix, full_matrices=False)
+    near = np.array([[got[i] @ got[j] if i in got and j in got else 0.0 for j in range(150)] for i in range(150)])
+    assert np.allclose(near, (u[:, :rank] * s[:rank] ** 2) @ u[:, :rank].T, atol=1e-5)
+    assert decompose.truncated_svd(spark.createDataFrame([], "id long, term string, weight double")).values == []
+
+
+def test_documents_without_terms_are_at_zero(spark):
+    docs = spark.createDataFrame([(1, "red ring"), (2, "red bolt"), (3, ""), (4, None)], "id long, text string")
+    got = {r["id"]: r["reduced"] for r in recommend.truncated_svd(docs).collect()}
+    assert got[3] == got[4] == [0.0, 0.0] and len(got[1]) == 2 and abs(got[1][0] - got[2][0]) < 1e-9

@@ -6,15 +6,12 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, Normalizer
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import Vectors
-from pyspark.mllib.linalg.distributed import IndexedRowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vitrina.functions.text import drop_stop_words, normalise_key, word_tokens
 from vitrina.functions.vectors import closeness, euclidean_distance, vector_cosine
+from vitrina.operators import decompose
 from vitrina.operators.lookup import attach
 from vitrina.operators.stats import min_max_scale, top_k_by_score
 from vitrina.session import cut_lineage
@@ -103,24 +100,15 @@ def recommend_hybrid(
 
 
 def truncated_svd(docs: DataFrame, components: int = 50, stop: Sequence[str] | None = None) -> DataFrame:
-    """``(id, reduced)``: documents in the space of the leading singular vectors of their TF-IDF matrix.
+    """``(id, reduced)``: documents in the space of the leading singular vectors of their TF-IDF matrix, not centred.
 
-    The matrix is not centred. Weights as in ``tfidf``; the library's decomposition keeps one dense
-    row per term on the driver, so the vocabulary must fit there; no term is dropped.
+    Weights as in ``tfidf``. Arrays are as long as the matrix has components, at most ``components``; documents without a term
+    are at zero.
     """
-    words = docs.select("id", content_tokens(F.col("text"), stop).alias("_words"))
-    counts = CountVectorizer(inputCol="_words", outputCol="_counts", vocabSize=(1 << 31) - 1).fit(words).transform(words)
-    idf = IDF(inputCol="_counts", outputCol="_unused").fit(counts).idf
-    weighed = ElementwiseProduct(scalingVec=Vectors.dense(idf.toArray() + 1.0), inputCol="_counts", outputCol="_weights").transform(counts)
-    rows = Normalizer(p=2.0, inputCol="_weights", outputCol="vector").transform(weighed).select(F.col("id").cast("long").alias("index"), "vector")
-    # The decomposition passes over the rows once per iteration.
-    rows = MLUtils.convertVectorColumnsFromML(cut_lineage(rows), "vector").persist()
-    svd = IndexedRowMatrix(rows).computeSVD(components, computeU=True)
-    scale = svd.s.toArray()
-    found = svd.U.rows.map(lambda row: (row.index, (row.vector.toArray() * scale).tolist()))
-    reduced = cut_lineage(docs.sparkSession.createDataFrame(found, "id long, reduced array<double>"))
-    rows.unpersist()
-    return reduced
+    found = decompose.truncated_svd(tfidf(docs, stop), components)
+    zeros = F.array_repeat(F.lit(0.0), len(found.values))
+    rows = docs.select("id").distinct().join(found.rows, "id", "left")
+    return cut_lineage(rows.select("id", F.coalesce("reduced", zeros).alias("reduced")))
 
 
 def cluster_features(products: DataFrame, components: int = 50, clusters: int = 5, seed: int = 42, stop: Sequence[str] | None = None) -> DataFrame:
