@@ -109,21 +109,21 @@ def _(spark, sf_dir):
 
 # Specifications of a product: its sizes and types; sentiment of a product: mean of a line's discount.
 @query("join_specs_sentiment", """
-WITH specs AS (SELECT p_brand AS brand, string_agg(p_type || ': ' || p_size, ' ' ORDER BY p_partkey) AS specs_text FROM part
-  WHERE p_size > 10 GROUP BY p_brand),
-sent AS (SELECT p_brand AS brand, avg(l_tax) AS sentiment FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 20 GROUP BY p_brand)
+WITH specs AS (SELECT p_partkey, unnest([{'place': 0, 'text': 'type: ' || p_type}, {'place': 1, 'text': 'size: ' || p_size},
+  {'place': 2, 'text': 'brand: ' || p_brand}]) AS pair FROM part),
+texts AS (SELECT p_partkey, string_agg(pair.text, ' ' ORDER BY pair.place) AS specs_text FROM specs GROUP BY p_partkey),
+sent AS (SELECT l_partkey AS p_partkey, avg(l_tax) AS sentiment FROM lineitem GROUP BY l_partkey)
 SELECT p_partkey, md5(coalesce(specs_text, '')) AS specs_digest, round(coalesce(sentiment, 0), 6) AS sentiment
-FROM part LEFT JOIN specs ON p_brand = specs.brand LEFT JOIN sent ON p_brand = sent.brand""")
+FROM part LEFT JOIN texts USING (p_partkey) LEFT JOIN sent USING (p_partkey)""")
 def _(spark, sf_dir):
+    """Every part has three rows of specifications; its sentiment is the mean tax of its line items."""
     part, lines = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
-    products = part.select("p_partkey", F.col("p_brand").alias("brand"))
-    pairs = part.filter("p_size > 10").select(
-        F.col("p_brand").alias("brand"), "p_partkey",
-        F.concat("p_type", F.lit(": "), F.col("p_size").cast("string")).alias("specs_text"))
-    specs = stats.concat_by_key(pairs, "brand", "specs_text", ["p_partkey"])
-    sentiment = lines.filter("l_quantity > 20").join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(
-        F.col("p_brand").alias("brand")).agg(F.avg("l_tax").alias("sentiment"))
-    joined = lookup.join_by_url(products, specs, sentiment, key="brand").na.fill({"specs_text": "", "sentiment": 0.0})
+    pair = lambda place, name: F.struct(
+        F.lit(place).alias("place"), F.concat(F.lit(f"{name}: "), F.col(f"p_{name}").cast("string")).alias("specs_text"))
+    pairs = part.select("p_partkey", F.inline(F.array(*[pair(i, name) for i, name in enumerate(("type", "size", "brand"))])))
+    specs = stats.concat_by_key(pairs, "p_partkey", "specs_text", ["place"])
+    sentiment = lines.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.avg("l_tax").alias("sentiment"))
+    joined = lookup.join_by_url(part.select("p_partkey"), specs, sentiment, key="p_partkey").na.fill({"specs_text": "", "sentiment": 0.0})
     return joined.select(
         "p_partkey", F.md5(F.col("specs_text").cast("binary")).alias("specs_digest"), F.round("sentiment", 6).alias("sentiment"))
 

@@ -219,9 +219,10 @@ def _(spark, sf_dir):
     folder = scratch_path(spark, "wrong-width")
     part = table(spark, sf_dir, "part")
     lines = part.select(F.concat("p_name", F.repeat(F.lit(",x"), (F.col("p_size") % 3 + 11).cast("int"))).alias("value"))
-    header = spark.createDataFrame([(",".join(RAW_OFFER_COLUMNS),)], "value string")
-    header.unionByName(lines).coalesce(1).write.option("lineSep", "\n").text(folder)
-    rows, _ = delimited.read_offers_csv(spark, folder, pattern="*.txt")
+    # one column, named by the whole header, in as many files as there are tasks
+    lines = lines.withColumnRenamed("value", ",".join(RAW_OFFER_COLUMNS)).repartition(4)
+    lines.write.option("header", True).option("sep", "\x01").option("quote", "").csv(folder)
+    rows, _ = delimited.read_offers_csv(spark, folder, pattern="*.csv")
     return delimited.split_by_width(rows)[1].select(F.col("captured_on").alias("first"), "corrupt_record")
 
 
