@@ -1,4 +1,5 @@
 import datetime
+import math
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitrina.functions.similarity import indel_ratios
-from vitrina.operators import decompose, density, embeddings, features, lookup, matching, quality, quantiles, recommend, reviews, series, stats
+from vitrina.operators import decompose, density, embeddings, features, lookup, matching, profile, quality, quantiles, recommend, reviews, series, stats
 
 
 def test_exact_quantiles_match_numpy(spark):
@@ -234,3 +235,30 @@ def test_documents_without_terms_are_at_zero(spark):
     docs = spark.createDataFrame([(1, "red ring"), (2, "red bolt"), (3, ""), (4, None)], "id long, text string")
     got = {r["id"]: r["reduced"] for r in recommend.truncated_svd(docs).collect()}
     assert got[3] == got[4] == [0.0, 0.0] and len(got[1]) == 2 and abs(got[1][0] - got[2][0]) < 1e-9
+
+
+def test_association_matrix_with_nulls(spark):
+    """Against direct sums; nulls of either column leave a row out of that pair only."""
+    rng = random.Random(11)
+    rows = [(rng.choice(["x", "y", None]), rng.choice(["p", "q", "r", None]), rng.choice([1.0, 2.5, None]), rng.random()) for _ in range(300)]
+    df = spark.createDataFrame(rows, "a string, b string, u double, `v w` double")
+    got = {(r["a"], r["b"], r["measure"]): r["value"] for r in profile.association_matrix(df, ["u", "v w"], ["a", "b"]).collect()}
+    pdf = pd.DataFrame(rows, columns=["a", "b", "u", "v w"])
+
+    def entropy(counts):
+        share = counts / counts.sum()
+        return -(share * np.log(share)).sum()
+
+    both = pdf.dropna(subset=["a", "b"])
+    h = entropy(both.groupby(["a", "b"]).size())
+    expected = {("u", "v w", "pearson"): pdf["u"].corr(pdf["v w"])}
+    for a, b in (("a", "b"), ("b", "a")):
+        expected[a, b, "uncertainty"] = (entropy(both.groupby(a).size()) + entropy(both.groupby(b).size()) - h) / entropy(both.groupby(a).size())
+        for v in ("u", "v w"):
+            some = pdf.dropna(subset=[a, v])
+            means = some.groupby(a)[v].transform("mean")
+            expected[a, v, "correlation_ratio"] = math.sqrt(((means - some[v].mean()) ** 2).sum() / ((some[v] - some[v].mean()) ** 2).sum())
+    assert got == pytest.approx(expected)
+    assert profile.association_matrix(df, [], ["a"]).count() == 0
+    assert {r["measure"] for r in profile.association_matrix(df, ["u", "v w"], []).collect()} == {"pearson"}
+    assert all(r["value"] is None for r in profile.association_matrix(df.limit(0), ["u", "v w"], ["a", "b"]).collect())

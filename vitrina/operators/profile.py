@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -46,43 +47,49 @@ def _entropy(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def association_matrix(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
-    """``(a, b, measure, value)``: Pearson, correlation ratio, and uncertainty coefficient of a given b."""
-    spark = df.sparkSession
+    """``(a, b, measure, value)``: Pearson, correlation ratio, and uncertainty coefficient of a given b.
+
+    One scan groups the rows by every categorical column, every pair of them, and all together; the measures come from its groups.
+    """
+    if not numeric and len(categorical) < 2:
+        return df.sparkSession.createDataFrame([], "a string, b string, measure string, value double")
+    keys, values = [f"_k{i}" for i in range(len(categorical))], [f"_v{i}" for i in range(len(numeric))]
+    rows = df.select(*[F.col(c).alias(k) for c, k in zip(categorical, keys)], *[F.col(c).alias(v) for c, v in zip(numeric, values)])
+    pairs = list(itertools.combinations(range(len(numeric)), 2))
+    measures = [F.count(F.lit(1)).alias("n"), *[F.corr(values[i], values[j]).alias(f"_c{i}_{j}") for i, j in pairs]]
+    for v in values:
+        measures += [F.count(v).alias(f"{v}_n"), F.avg(v).alias(f"{v}_m"), F.var_pop(v).alias(f"{v}_v")]
+    sets = [[], *[[k] for k in keys], *map(list, itertools.combinations(keys, 2))]
+    if keys:
+        grouped = rows.groupingSets(sets, *keys).agg(F.grouping_id().alias("_set"), *measures)
+    else:
+        grouped = rows.agg(F.lit(0).cast("long").alias("_set"), *measures)
+    grouped = written(grouped)
+
+    def groups(*of: str) -> DataFrame:
+        """The groups by just these columns, without those of a null."""
+        number = sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in of)
+        found = grouped.filter(F.col("_set") == number)
+        return found.dropna(subset=list(of)) if of else found
+
+    entry = lambda a, b, measure, value: F.struct(
+        F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(measure).alias("measure"), value.alias("value"))
     parts = []
-    pairs = list(itertools.combinations(numeric, 2))
     if pairs:
-        row = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-        entries = F.array(*[
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit("pearson").alias("measure"), F.col(f"c{i}").alias("value"))
-            for i, (a, b) in enumerate(pairs)
-        ])
-        parts.append(row.select(F.inline(entries)))
-    for a in categorical:
-        for b in numeric:
-            groups = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a).agg(
-                F.count(F.lit(1)).alias("n"), F.avg(b).alias("m"), F.var_pop(b).alias("v"))
-            # Variance between groups over total variance, both from the group moments.
-            sums = groups.agg(
-                F.sum("n").alias("n"), F.sum(F.col("n") * F.col("m")).alias("s"),
-                F.sum(F.col("n") * F.col("m") * F.col("m")).alias("ss"), F.sum(F.col("n") * F.col("v")).alias("within"))
-            between = F.col("ss") - F.col("s") * F.col("s") / F.col("n")
-            parts.append(sums.select(
-                F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit("correlation_ratio").alias("measure"),
-                F.sqrt(F.try_divide(between, between + F.col("within"))).alias("value")))
-        for b in categorical:
-            if a == b:
-                continue
-            counts = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(
-                F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count(F.lit(1)).alias("n"))
-            joint = _entropy(counts, [])
-            alone_x = _entropy(counts.groupBy("x").agg(F.sum("n").alias("n")), []).scalar()
-            alone_y = _entropy(counts.groupBy("y").agg(F.sum("n").alias("n")), []).scalar()
-            parts.append(joint.select(
-                F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit("uncertainty").alias("measure"),
-                F.try_divide(alone_x + alone_y - F.col("_h"), alone_x).alias("value")))
-    if not parts:
-        return spark.createDataFrame([], "a string, b string, measure string, value double")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        parts.append(groups().select(F.inline(F.array(*[entry(numeric[i], numeric[j], "pearson", F.col(f"_c{i}_{j}")) for i, j in pairs]))))
+    for a, key in zip(categorical, keys) if numeric else ():
+        sums, entries = [], []
+        for b, v in zip(numeric, values):
+            n, m = F.col(f"{v}_n"), F.col(f"{v}_m")
+            sums += [F.sum(n).alias(f"{v}_n"), F.sum(n * m).alias(f"{v}_s"), F.sum(n * m * m).alias(f"{v}_ss"), F.sum(n * F.col(f"{v}_v")).alias(f"{v}_in")]
+            # variance between groups over total variance, both from the group moments
+            between = F.col(f"{v}_ss") - F.try_divide(F.col(f"{v}_s") * F.col(f"{v}_s"), F.col(f"{v}_n"))
+            entries.append(entry(a, b, "correlation_ratio", F.sqrt(F.try_divide(between, between + F.col(f"{v}_in")))))
+        parts.append(groups(key).agg(*sums).select(F.inline(F.array(*entries))))
+    for (a, x), (b, y) in itertools.combinations(list(zip(categorical, keys)), 2):
+        counts = groups(x, y).select(F.col(x).alias("x"), F.col(y).alias("y"), "n")
+        alone = [_entropy(counts.groupBy(k).agg(F.sum("n").alias("n")), []).scalar() for k in ("x", "y")]
+        shared = alone[0] + alone[1] - F.col("_h")
+        both = [entry(a, b, "uncertainty", F.try_divide(shared, alone[0])), entry(b, a, "uncertainty", F.try_divide(shared, alone[1]))]
+        parts.append(_entropy(counts, []).select(F.inline(F.array(*both))))
+    return reduce(DataFrame.unionByName, parts)

@@ -271,8 +271,8 @@ def _(spark, sf_dir):
     from vitrina.operators.quality import split_valid_rows
     rows, path = offers(spark, sf_dir), scratch_path(spark, "quarantine")
     _, bad = split_valid_rows(rows, rows.columns)
-    delimited.quarantine_sink(bad, path)
-    return spark.read.parquet(path).select("offer_id")
+    wrote = delimited.quarantine_sink(bad, path)
+    return (spark.read.parquet(path) if wrote else bad.limit(0)).select("offer_id")
 
 
 # --- resumption -------------------------------------------------------------------------------------------
