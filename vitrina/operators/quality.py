@@ -27,16 +27,24 @@ def split_valid_rows(df: DataFrame, columns: Sequence[str] = RAW_OFFER_COLUMNS)
     return split_by(df, non_null_count(df.columns) == len(columns))
 
 
-def ingest_summary(df: DataFrame, columns: Sequence[str], key: Sequence[str] | None = None) -> DataFrame:
-    """Rows, valid rows, quarantined rows and repeated valid rows in one table row."""
+def ingest_summary(df: DataFrame, columns: Sequence[str], key: Sequence[str] | None = None, files: DataFrame | None = None) -> DataFrame:
+    """Rows, valid rows, quarantined rows and repeated valid rows in one table row.
+
+    With ``files``, one row per file of the batch and an ``error`` where it could not be read, also all, read and unread files.
+    """
     valid, _ = split_valid_rows(df, columns)
     key = list(key or df.columns)
     distinct = valid.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("valid_rows"), F.count(F.lit(1)).alias("_distinct"))
     total = df.agg(F.count(F.lit(1)).alias("_rows")).scalar()
-    return distinct.select(
+    summary = distinct.select(
         total.alias("input_rows"), "valid_rows", (total - F.col("valid_rows")).alias("quarantined_rows"),
         (F.col("valid_rows") - F.col("_distinct")).alias("duplicate_rows"), F.lit(len(df.columns)).alias("column_count"))
+    if files is None:
+        return summary
+    n, unread = F.count(F.lit(1)), F.count("error")
+    counted = files.agg(F.struct(n.alias("files"), (n - unread).alias("read_files"), unread.alias("unread_files"))).scalar()
+    return summary.withColumn("_files", counted).select(*summary.columns, "_files.*")
 
 
 def dedupe_full_row(df: DataFrame) -> DataFrame:

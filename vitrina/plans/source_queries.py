@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from vitrina.schemas import MISSING_FIELD, NO_COMMENT, NO_SCORE, RAW_OFFER_COLUMNS, STATUS_PROPERTY, UNAVAILABLE
+from vitrina.operators import quality
 from vitrina.plans.bindings import OFFERS_SQL, offers, table
 from vitrina.plans.registry import query
-from vitrina.session import scratch_path
+from vitrina.session import scratch_path, written
 from vitrina.sources import delimited, html, resume
 from vitrina.streaming import offers as streams
 
@@ -232,6 +233,20 @@ def _(spark, sf_dir):
     return bad.groupBy("error").agg(F.count(F.lit(1)).alias("files"))
 
 
+@query("ingest_batch", f"""WITH raw AS ({_RAW_SQL}), valid AS (SELECT count(*) AS n FROM raw WHERE NOT ({" OR ".join(f"{c} IS NULL" for c in RAW_OFFER_COLUMNS)}) GROUP BY store, name)
+SELECT (SELECT count(*) FROM raw) AS input_rows, CAST(coalesce(sum(n), 0) AS BIGINT) AS valid_rows,
+  CAST((SELECT count(*) FROM raw) - coalesce(sum(n), 0) AS BIGINT) AS quarantined_rows, CAST(coalesce(sum(n), 0) - count(*) AS BIGINT) AS duplicate_rows,
+  {len(RAW_OFFER_COLUMNS)} AS column_count, 5 AS files, 4 AS read_files, 1 AS unread_files FROM valid""")
+def _(spark, sf_dir):
+    """Four files of offers and one that no dialect can read."""
+    folder, raw = scratch_path(spark, "batch"), _raw_offers(spark, sf_dir)
+    raw.repartition(4).write.csv(f"{folder}/offers", header=True, encoding="ISO-8859-1", escape='"')
+    raw.select("store", "name").limit(10).coalesce(1).write.csv(f"{folder}/broken", header=True, sep="|")
+    rows, _ = delimited.split_by_width(delimited.read_offers_csv(spark, f"{folder}/*")[0])
+    kept = written(rows.select(*RAW_OFFER_COLUMNS))  # the files are parsed once; the summary counts what they gave
+    return quality.ingest_summary(kept, RAW_OFFER_COLUMNS, ("store", "name"), delimited.file_dialects(spark, f"{folder}/*"))
+
+
 @query("read_delimited_strict", "SELECT p_partkey, p_name || ' \"x\"; y' AS name FROM part")
 def _(spark, sf_dir):
     path = scratch_path(spark, "strict-csv")
