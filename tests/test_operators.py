@@ -5,10 +5,14 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vitrina.functions.similarity import indel_ratios
-from vitrina.operators import decompose, density, embeddings, features, lookup, matching, profile, quality, quantiles, recommend, reviews, series, stats
+from vitrina.operators import decompose, density, embeddings, features, kmeans, lookup, matching, profile, quality, quantiles, recommend, reviews, series, stats
 
 
 def test_exact_quantiles_match_numpy(spark):
@@ -181,6 +185,47 @@ def test_pca_and_clusters(spark):
     assert costs == sorted(costs, reverse=True)
 
 
+def _lloyd(x, centres, iterations=20, tolerance=1e-4):
+    """One model alone, row against centre."""
+    for _ in range(iterations):
+        near = ((x[:, None] - centres) ** 2).sum(2).argmin(1)
+        new = np.array([x[near == c].mean(0) if (near == c).any() else centres[c] for c in range(len(centres))])
+        still = (((new - centres) ** 2).sum(1) <= tolerance ** 2).all()
+        centres = new
+        if still:
+            break
+    return centres, ((x[:, None] - centres) ** 2).sum(2).min(1).sum()
+
+
+def test_kmeans_search_equals_single_fits(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 1.0, (120, 3)) + 1000 for c in (0, 4, 9)] + [np.full((150, 3), 1007.0)])
+    df = spark.createDataFrame([(i, Vectors.dense(v)) for i, v in enumerate(x)] + [(-1, None)], StructType().add("id", "long").add("features", VectorUDT())).repartition(5)
+    models, silhouettes = kmeans.search(df, range(2, 6), 3, seed=7)
+    sample, weights = kmeans._start_rows(df.filter("id >= 0").select(vector_to_array("features").alias("x")))
+    assert weights.sum() == len(x) and len(np.unique(sample, axis=0)) == len(sample)
+    starts = [kmeans.start_centres(sample, weights, 5, (7, r)) for r in range(3)]
+    scores = silhouettes()
+    judge = ClusteringEvaluator(featuresCol="features", predictionCol="cluster", metricName="silhouette")
+    for k, model in models.items():
+        assert model.cost == pytest.approx(min(_lloyd(x, s[:k])[1] for s in starts), rel=1e-9)
+        labelled = model.transform(df)
+        assert labelled.filter("id = -1").first()["cluster"] is None
+        held = labelled.filter("id >= 0")
+        sizes = {r["cluster"]: r["count"] for r in held.groupBy("cluster").count().collect()}
+        assert sizes == {i: n for i, n in enumerate(model.sizes) if n}
+        assert scores[k] == pytest.approx(judge.evaluate(held), rel=1e-6)
+
+
+def test_kmeans_with_fewer_different_rows_than_clusters(spark):
+    df = spark.createDataFrame([(Vectors.dense([1.0, 1.0]),)] * 40, ["features"])
+    models, silhouettes = kmeans.search(df, [2, 3], 2)
+    assert {k: (m.cost, m.sizes.tolist()) for k, m in models.items()} == {2: (0.0, [40, 0]), 3: (0.0, [40, 0, 0])}
+    assert silhouettes() == {2: None, 3: None}
+    with pytest.raises(ValueError):
+        features.kmeans_best_of(df.limit(0), 2)
+
+
 def test_recommend_text_fills_up_by_id(spark):
     docs = spark.createDataFrame([(1, "rojo azul"), (2, "verde"), (3, "rojo"), (4, "negro"), (5, "gris"), (6, "blanco"), (7, "rosa")], "id long, text string")
     found = recommend.recommend_text(docs, spark.createDataFrame([(1,)], "query long"), 5, stop=[])
