@@ -1,16 +1,16 @@
 """Kernel density and bootstrap bands of grouped measures.
 
-Both sum one vector per row (a place for each grid point or resample), so partial sums are combined in each task and no row is
-multiplied.
+Both sum one vector per row (a place for each grid point or resample). The vectors live in numpy blocks inside a task, which hands on one
+partial sum per group, so what is shuffled does not grow with the rows of a group.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
@@ -18,6 +18,48 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vitrina.operators.lookup import attach
 from vitrina.session import cut_lineage, written
 
+# Vectors formed at once, and groups whose partial sums a task holds before it hands them on.
+CHUNK = 1024
+HELD = 1024
+
+
+def _group_sums(rows: DataFrame, vectors: Callable[..., np.ndarray]) -> DataFrame:
+    """``(_group, _sum)`` of the vectors made from the columns that follow ``_group``.
+
+    Rows are sorted by group within their task, so a task hands on each group once and holds few of them.
+    """
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+
+        def handed() -> pa.RecordBatch:
+            sums = np.stack(list(held.values()))
+            ends = np.arange(0, sums.size + 1, sums.shape[1], dtype=np.int32)
+            return pa.RecordBatch.from_pydict({"_group": pa.array(list(held), pa.int64()), "_sum": pa.ListArray.from_arrays(ends, sums.reshape(-1))})
+
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            for at in range(0, batch.num_rows, CHUNK):
+                group, *values = [c[at:at + CHUNK] for c in columns]
+                order = np.argsort(group, kind="stable")
+                ids, starts = np.unique(group[order], return_index=True)
+                sums = np.add.reduceat(vectors(*[v[order] for v in values]), starts, axis=0)
+                for i, total in zip(ids.tolist(), sums):
+                    held[i] = held[i] + total if i in held else total
+                if len(held) > HELD:
+                    yield handed()
+                    held.clear()
+        if held:
+            yield handed()
+
+    summed = rows.sortWithinPartitions("_group").mapInArrow(partial, "_group long, _sum array<double>")
+    return summed.groupBy("_group").agg(vector_to_array(Summarizer.sum(array_to_vector("_sum"))).alias("_sum"))
+
+
+def _numbered(groups: DataFrame) -> DataFrame:
+    """A number per group, fixed by writing the table."""
+    return cut_lineage(groups.withColumn("_group", F.monotonically_increasing_id()))
+
 
 def kde(df: DataFrame, value: str, groups: Sequence[str], points: int = 200, cut: float = 3.0) -> DataFrame:
     """Gaussian density on an even grid per group, with Scott's bandwidth; every value counts at every grid point."""
@@ -27,16 +69,20 @@ def kde(df: DataFrame, value: str, groups: Sequence[str], points: int = 200, cut
         F.count(F.lit(1)).alias("_size"), F.stddev_samp("_v").alias("_dev"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
     ).filter("_dev > 0")
     width = F.col("_dev") * F.pow(F.col("_size"), F.lit(-0.2))
-    stats = cut_lineage(stats.select(
+    stats = _numbered(stats.select(
         *groups, "_size", width.alias("_width"), (F.col("_min") - cut * width).alias("_start"),
         ((F.col("_max") - F.col("_min") + 2 * cut * width) / (points - 1)).alias("_step")))
     start = (F.col("_start") - F.col("_v")) / F.col("_width")
     step = F.col("_step") / F.col("_width")
-    away = attach(rows, stats, groups, how="inner").select(*groups, start.alias("_a"), step.alias("_b"))
-    kernels = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda g: F.exp(-0.5 * F.pow(F.col("_a") + g * F.col("_b"), F.lit(2.0))))
-    sums = away.groupBy(*groups).agg(Summarizer.sum(array_to_vector(kernels)).alias("_sum"))
+    away = attach(rows, stats, groups, how="inner").select("_group", start.alias("_a"), step.alias("_b"))
+    places = np.arange(points)
+
+    def kernels(start: np.ndarray, step: np.ndarray) -> np.ndarray:
+        return np.exp(-0.5 * (start[:, None] + step[:, None] * places) ** 2)
+
+    sums = _group_sums(away, kernels)
     scale = F.col("_size") * F.col("_width") * math.sqrt(2 * math.pi)
-    grid = stats.join(sums, groups).select("*", F.posexplode(vector_to_array("_sum")).alias("grid_point", "_kernel"))
+    grid = stats.join(sums, "_group").select("*", F.posexplode("_sum").alias("grid_point", "_kernel"))
     return grid.select(
         *groups, F.col("grid_point").cast("long").alias("grid_point"), (F.col("_start") + F.col("grid_point") * F.col("_step")).alias("x"),
         (F.col("_kernel") / scale).alias("density"))
@@ -52,22 +98,13 @@ def _poisson_steps() -> list[float]:
     return steps
 
 
-def _poisson_draws(row: Column, replicates: int) -> Column:
-    """Poisson(1) draws of a row for every resample; they depend only on the row's hash, so that a lost task repeats them."""
-    steps = np.array(_poisson_steps())
+def _poisson_draws(hashes: np.ndarray, replicates: int, steps: np.ndarray) -> np.ndarray:
+    """Poisson(1) draws of each row for every resample; they depend only on the row's hash, so that a lost task repeats them."""
     odd = np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-
-    @F.pandas_udf("array<double>")
-    def draws(hashes: pd.Series) -> pd.Series:
-        out = []
-        for h in hashes.to_numpy(np.int64).view(np.uint64):
-            z = h + odd
-            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            out.append(np.searchsorted(steps, (z ^ (z >> np.uint64(31))) / 2.0**64, side="right").astype(float))
-        return pd.Series(out)
-
-    return draws(row)
+    z = hashes.view(np.uint64)[:, None] + odd
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.searchsorted(steps, (z ^ (z >> np.uint64(31))) / 2.0**64, side="right").astype(float)
 
 
 def mean_line_ci(
@@ -75,13 +112,18 @@ def mean_line_ci(
 ) -> DataFrame:
     """Mean per group with a percentile band from a Poisson bootstrap; resamples without a row are left out of the band."""
     keys = list(keys)
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(row_id).alias("_id"), F.col(value).cast("double").alias("_v"))
-    drawn = rows.withColumn("_draws", _poisson_draws(F.xxhash64("_id", F.lit(seed)), replicates))
-    weights = array_to_vector("_draws")
-    sums = drawn.groupBy(*keys).agg(
-        F.avg("_v").alias("mean"), F.count(F.lit(1)).alias("n"), Summarizer.sum(weights).alias("_weight"),
-        Summarizer.sum(array_to_vector(F.transform("_draws", lambda w: w * F.col("_v")))).alias("_sum"))
-    pairs = F.arrays_zip(vector_to_array("_sum").alias("s"), vector_to_array("_weight").alias("w"))
+    rows = written(df.filter(F.col(value).isNotNull()).select(
+        *keys, F.xxhash64(F.col(row_id), F.lit(seed)).alias("_hash"), F.col(value).cast("double").alias("_v")))
+    stats = _numbered(rows.groupBy(*keys).agg(F.avg("_v").alias("mean"), F.count(F.lit(1)).alias("n")))
+    steps = np.array(_poisson_steps())
+
+    def resampled(hashes: np.ndarray, values: np.ndarray) -> np.ndarray:
+        draws = _poisson_draws(hashes, replicates, steps)
+        return np.hstack([draws, draws * values[:, None]])
+
+    drawn = attach(rows, stats, keys, how="inner").select("_group", "_hash", "_v")
+    sums = stats.join(_group_sums(drawn, resampled), "_group")
+    pairs = F.arrays_zip(F.slice("_sum", replicates + 1, replicates).alias("s"), F.slice("_sum", 1, replicates).alias("w"))
     means = F.array_sort(F.transform(F.filter(pairs, lambda p: p["w"] > 0), lambda p: p["s"] / p["w"]))
     found = sums.withColumn("_means", means)
 

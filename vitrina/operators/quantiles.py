@@ -8,12 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vitrina.operators.lookup import attach
-from vitrina.session import cut_lineage, written
+from vitrina.session import BROADCAST_ROWS, cut_lineage, written
 
 # Rank error of the mergeable sketch: 1 / ACCURACY of the group size.
 ACCURACY = 10_000
 
-# Parts that a range of values is counted in.
+# Parts that the inside of a range of values is counted in.
 BINS = 1024
 
 
@@ -25,12 +25,27 @@ def approximate_quantiles(df: DataFrame, value: str, probs: Sequence[float], gro
     return found.select(*groups, F.inline(pairs)).filter("quantile IS NOT NULL")
 
 
+def _parts(rows: DataFrame, keys: Sequence[str], ranges: Sequence[tuple[Column, Column, Column]]) -> DataFrame:
+    """Counts of ``_v`` and its ends per group, in parts that are in order by ``(_slot, _bin)``.
+
+    The ends of the ranges (low, high, rows at most) cut the values into slots. Values inside a range fall into ``BINS`` equal bins, or into one
+    for each value where the range holds no more rows than that. The others are only counted: no row is multiplied.
+    """
+    value = F.col("_v")
+    passed = [F.coalesce(test.cast("int"), F.lit(0)) for low, high, _ in ranges for end in (low, high) for test in (value >= end, value > end)]
+    bins = [F.when((value > low) & (value < high), F.when(rows_ <= BINS, value).otherwise(
+        F.least(F.floor(F.try_divide(value - low, high - low) * BINS), F.lit(BINS - 1)).cast("double"))) for low, high, rows_ in ranges]
+    return rows.withColumns({"_slot": reduce(Column.__add__, passed), "_bin": F.coalesce(*bins, F.lit(0.0))}).groupBy(*keys, "_slot", "_bin").agg(
+        F.count(F.lit(1)).alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"), F.max("_size").alias("_size"))
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = ()) -> DataFrame:
     """``(groups, prob, quantile)`` with linear interpolation between neighbours.
 
-    A sketch proposes a range for every wanted rank. A round counts the values of each of ``BINS`` equal parts of the range, and those
-    beyond it; the part that holds the rank is the next range, until it holds one value. A window never sees more than the
-    parts of a range, whatever the size of the group, and a poor proposal only costs a round.
+    A sketch proposes a range for every probability, and one more scan counts the values below, inside and above all ranges at once. The
+    part that holds a rank gives its value if it has one value, or if the rank is its first or last; else it is
+    the range of another round. Groups of up to some 1.7 million rows need none. A window never sees more than
+    the parts of a group, whatever its size, and a poor proposal only costs a round.
     """
     keys = list(groups) or ["_all"]
     rows = df.select(*groups, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
@@ -38,37 +53,37 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: S
         rows = rows.withColumn("_all", F.lit(0))
     margin = 2.0 / ACCURACY
     ends = [end for p in probs for end in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    start = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"), F.percentile_approx("_v", ends, ACCURACY).alias("_ends"))
-    position = lambda p: F.lit(float(p)) * (F.col("_size") - 1)
-    wanted = F.array(*[
-        F.struct(F.lit(float(p)).alias("prob"), F.lit(side).alias("side"), rank(position(p)).alias("rank"), F.col("_ends")[2 * i].alias("low"),
-                 F.col("_ends")[2 * i + 1].alias("high"), F.lit(0).cast("long").alias("below"))
-        for i, p in enumerate(probs) for side, rank in enumerate((F.floor, F.ceil))])
-    target = ["prob", "side", "rank"]
-    sizes = cut_lineage(start)
-    open_, done = sizes.select(*keys, F.inline(wanted)), []
-    first = True
-    while first or not open_.isEmpty():
-        ranges = open_.groupBy(*keys).agg(F.collect_list(F.struct(*target, "low", "high", "below")).alias("_ranges"))
-        inside = attach(rows, ranges, keys, how="inner").select(*keys, "_v", F.inline("_ranges"))
-        if not first:
-            inside = inside.filter(F.col("_v").between(F.col("low"), F.col("high")))
-        share = F.floor(F.try_divide(F.col("_v") - F.col("low"), F.col("high") - F.col("low")) * BINS)
-        bin_ = F.when(F.col("_v") < F.col("low"), -1).when(F.col("_v") > F.col("high"), BINS).otherwise(
-            F.coalesce(F.least(share, F.lit(BINS - 1)), F.lit(0)))
-        parts = inside.groupBy(*keys, *target, "below", bin_.alias("_bin")).agg(
-            F.count(F.lit(1)).alias("_n"), F.min("_v").alias("low"), F.max("_v").alias("high"))
-        order = Window.partitionBy(*keys, *target).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-        held = parts.withColumn("_upto", F.col("below") + F.sum("_n").over(order)).filter(F.col("_upto") > F.col("rank"))
-        part = held.groupBy(*keys, *target).agg(F.min_by(F.struct("low", "high", (F.col("_upto") - F.col("_n")).alias("below")), "_bin").alias("_part"))
-        part = cut_lineage(part.select(*keys, *target, "_part.*"))
-        done.append(part.filter("low = high"))
-        open_, first = part.filter("low < high"), False
-    found = reduce(DataFrame.unionByName, done).groupBy(*keys, "prob").agg(
-        F.max(F.when(F.col("side") == 0, F.col("low"))).alias("_a"), F.max(F.when(F.col("side") == 1, F.col("low"))).alias("_b"))
-    place = F.col("prob") * (F.col("_size") - 1)
-    quantile = F.col("_a") + (F.col("_b") - F.col("_a")) * (place - F.floor(place))
-    return attach(found, sizes.select(*keys, "_size"), keys, how="inner").select(*groups, "prob", quantile.alias("quantile"))
+    place = [F.lit(float(p)) * (F.col("_size") - 1) for p in probs]
+    ranks = [side(x) for x in place for side in (F.floor, F.ceil)]
+    values = [f"_value{i}" for i in range(len(ranks))]
+    # The sketch errs by 1 / ACCURACY of the rows at each end, so a range holds six times that beside its ends.
+    open_ = cut_lineage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"), F.percentile_approx("_v", ends, ACCURACY).alias("_ends")))
+    ranges = [(F.col("_ends")[2 * i], F.col("_ends")[2 * i + 1], F.col("_size") * 6 / ACCURACY) for i in range(len(probs))]
+    known, done = {v: F.lit(None).cast("double") for v in values}, []
+    while True:
+        small = F.broadcast(open_) if open_.count() <= BROADCAST_ROWS else open_
+        parts = _parts(rows.join(small, keys), keys, ranges)
+        order = Window.partitionBy(*keys).orderBy("_slot", "_bin").rowsBetween(Window.unboundedPreceding, 0)
+        parts = parts.withColumn("last", F.sum("n").over(order) - 1).withColumn("first", F.col("last") - F.col("n") + 1)
+        holding = [F.max(F.when(rank.between(F.col("first"), F.col("last")), F.struct("n", "first", "last", "low", "high"))).alias(f"_part{i}")
+                   for i, rank in enumerate(ranks)]
+        found = parts.groupBy(*keys).agg(F.max("_size").alias("_size"), *holding)
+        if done:
+            found = found.join(open_.select(*keys, *values), keys)
+        part = [F.col(f"_part{i}") for i in range(len(ranks))]
+        settled = {v: F.coalesce(known[v], F.when((p["low"] == p["high"]) | (rank == p["first"]), p["low"]).when(rank == p["last"], p["high"]))
+                   for v, p, rank in zip(values, part, ranks)}
+        found = cut_lineage(found.withColumns(settled))
+        known = {v: F.col(v) for v in values}
+        complete = reduce(Column.__and__, [known[v].isNotNull() for v in values])
+        done.append(found.filter(complete).select(*keys, "_size", *values))
+        open_ = found.filter(~complete)
+        if open_.isEmpty():
+            break
+        ranges = [tuple(F.when(known[v].isNull(), p[field]) for field in ("low", "high", "n")) for v, p in zip(values, part)]
+    between = [known[a] + (known[b] - known[a]) * (x - F.floor(x)) for a, b, x in zip(values[::2], values[1::2], place)]
+    quantiles = F.array(*[F.struct(F.lit(float(p)).alias("prob"), q.alias("quantile")) for p, q in zip(probs, between)])
+    return reduce(DataFrame.unionByName, done).select(*groups, F.inline(quantiles))
 
 
 def box_stats(df: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:
