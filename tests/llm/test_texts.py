@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import time
 import zlib
 
 import duckdb
@@ -188,3 +189,20 @@ def test_queries_equal_sql(spark, name):
     assert sorted(got.columns) == names
     plain = lambda df: sorted(str([None if x != x else x for x in row]) for row in df[names].itertuples(index=False, name=None))
     assert plain(got) == plain(expected)
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a href", "<html ", "<meta ", "<!", "<script ", "<title ", "<a \"", "<a '\"", "<", "<p title='"])
+@pytest.mark.parametrize("closing", ["", ">"])
+def test_broken_pages_take_linear_time(unit, closing):
+    page = unit * (1_000_000 // len(unit)) + closing
+    start = time.perf_counter()
+    warc.read_page(page)
+    assert time.perf_counter() - start < 10
+
+
+def test_unclosed_parts_hide_the_rest_of_a_page():
+    assert warc.read_page("<p>seen<script> a > b and < more").text == "seen"
+    assert warc.read_page("<p>seen<!-- a > b and < more").text == "seen"
+    assert warc.read_page("<p>seen</p>1 < 2 <!-- not this").text == "seen\n1 < 2"
+    found = warc.read_page("<html lang=es><a href=/x>x</a><!-- <a href=/y> --><a title='<' href='/z'>z</a>")
+    assert (found.language, found.links) == ("es", ["/x", "/z"])

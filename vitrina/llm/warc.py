@@ -44,20 +44,40 @@ class Page(NamedTuple):
 
 
 def read_page(source: str) -> Page:
-    """Title, visible text by lines, language, charset and links of a page, however broken; each link once, in order."""
+    """Title, visible text by lines, language, charset and links of a page, however broken; each link once, in order.
+
+    Attributes are read from the tags that are shown, not from comments or hidden elements, in time linear in the page.
+    """
+    # Beyond the last ">" no tag can close, and looking for its end from every "<" there would take quadratic time.
+    end = source.rfind(">") + 1
     titles: list[str] = []
+    links: dict[str, None] = {}
+    first: dict[re.Pattern, str] = {}
+    unclosed = False
 
     def shown(m: re.Match) -> str:
+        nonlocal unclosed
         if m["hidden"]:
+            unclosed = m.end("inner") == m.end()
             if m["hidden"].lower() == "title" and not titles:
                 titles.append(" ".join(html.unescape(m["inner"]).split()))
             return "\n"
+        tag = m[0]
+        if tag.startswith("<!--"):
+            unclosed = not tag.endswith("-->")
+        elif found := _LINK.match(tag):
+            links[html.unescape(next(filter(None, found.groups()), "")).strip()] = None
+        else:
+            for p in (_LANGUAGE, _CHARSET):
+                if p not in first and (found := p.match(tag)):
+                    first[p] = found[1]
         return "\n" if (m["tag"] or "").lower() in _BLOCK else ""
 
-    lines = (" ".join(line.split()) for line in html.unescape(_MARKUP.sub(shown, source)).split("\n"))
-    links = dict.fromkeys(html.unescape(next(filter(None, m), "")).strip() for m in _LINK.findall(source))
-    found = lambda p: m[1] if (m := p.search(source)) else ""
-    return Page("".join(titles), "\n".join(filter(None, lines)), found(_LANGUAGE), found(_CHARSET), [x for x in links if x])
+    text = _MARKUP.sub(shown, source[:end])
+    if not unclosed:
+        text += source[end:].partition("<!--")[0]
+    lines = (" ".join(line.split()) for line in html.unescape(text).split("\n"))
+    return Page("".join(titles), "\n".join(filter(None, lines)), first.get(_LANGUAGE, ""), first.get(_CHARSET, ""), [x for x in links if x])
 
 
 def digest(block: bytes) -> str:
