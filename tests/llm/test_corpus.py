@@ -216,11 +216,39 @@ def test_index_finds_the_related_document():
     counts = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=2000)
     idf = np.log1p((30 - counts + 0.5) / (counts + 0.5)).astype(np.float32)
     index = packing.Index(docs, idf, 200.0)
-    free = np.ones(30, bool)
-    free[4] = False
-    assert index.neighbours(4, free, 16)[0] == 17
-    free[17] = False
-    assert 17 not in index.neighbours(4, free, 16)
+    left = np.full(30, 200)
+    left[4] = 0
+    assert index.neighbours(4, left, 200)[0] == 17
+    left[17] = 0
+    assert 17 not in index.neighbours(4, left, 10**6)
+
+
+@pytest.mark.parametrize("terms", [40, 3000])
+def test_neighbours_equal_plain_bm25_over_all_terms(terms):
+    rng = np.random.default_rng(terms)
+    docs = [np.minimum(rng.zipf(1.2, rng.integers(1, 400)), terms - 1).astype("<u2") for _ in range(400)] + [np.array([2], "<u2")]
+    docs[50] = docs[51] = docs[52]  # ties
+    n, mean = len(docs), float(np.mean([len(d) for d in docs]))
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=terms)
+    idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+    index = packing.Index(docs, idf, mean)
+    counts = [dict(zip(*(x.tolist() for x in packing.term_counts(d)))) for d in docs]
+
+    def score(q, d):
+        norm = packing.K1 * (1 - packing.B + packing.B * len(docs[d]) / mean)
+        return sum(float(idf[t]) * counts[d][t] * (packing.K1 + 1) / (counts[d][t] + norm) for t in counts[q] if t in counts[d])
+
+    for seed in (0, 51, 123, n - 1):
+        left = np.array([len(d) for d in docs]) * (rng.random(n) < 0.8)
+        left[seed] = 0
+        plain = sorted((d for d in range(n) if left[d] and score(seed, d) > 0), key=lambda d: (-round(score(seed, d), 4), d))
+        for need in (1, 700, 4000, 10**9):
+            found = index.neighbours(seed, left, need).tolist()
+            until = int(np.searchsorted(np.cumsum(left[plain]), need)) + 1
+            assert len(found) >= len(plain[:until])
+            assert [round(score(seed, d), 3) for d in found[:until]] == pytest.approx([score(seed, d) for d in plain[:until]], abs=2e-3)
+            assert found == index.neighbours(seed, left, need, first=10**6).tolist()[: len(found)] or need < 10**9
+    assert packing.pack_shard(docs, idf, mean) == packing.pack_shard(docs, idf, mean, first=10**6)
 
 
 def test_blocks_round_trip_from_every_checkpoint():
@@ -249,8 +277,8 @@ def test_files_hold_all_ids_in_order(spark, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
     rows, docs = small_docs(spark)
-    table = token_files.write(docs, str(tmp_path / "files"), path, end_id=2, block_tokens=3000)
-    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.read(spark, str(tmp_path / "files"), table).collect())
+    token_files.write(docs, str(tmp_path / "files"), path, end_id=2, block_tokens=3000)
+    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.read(spark, str(tmp_path / "files")).collect())
     raw = [(i is not None, i or 0, np.array(library.encode(t or "", add_special_tokens=False).ids + [2], "<u4")) for i, t, _ in rows]
     raw.sort(key=lambda x: x[:2])
     at = 0
@@ -260,8 +288,16 @@ def test_files_hold_all_ids_in_order(spark, tmp_path):
             assert (n, crc) == (len(ids), zlib.crc32(ids.tobytes()))
         at += n
     assert at == sum(len(ids) for *_, ids in raw)
-    table = token_files.write(docs.limit(0), str(tmp_path / "none"), path, end_id=2)
-    assert token_files.read(spark, str(tmp_path / "none"), table).count() == 0
+    (tmp_path / "moved").mkdir()
+    (tmp_path / "files").rename(tmp_path / "moved" / "files")
+    moved = token_files.read(spark, str(tmp_path / "moved" / "files"))
+    assert sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in moved.collect()) == got
+    token_files.write(docs.limit(0), str(tmp_path / "none"), path, end_id=2)
+    assert token_files.read(spark, str(tmp_path / "none")).count() == 0
+    other = spark.createDataFrame([(3, 1 << 20)], "id long, freq long")
+    other.write.mode("overwrite").parquet(str(tmp_path / "moved" / "files" / "table"))
+    with pytest.raises(ValueError):
+        token_files.read(spark, str(tmp_path / "moved" / "files"))
 
 
 # ---- vectors

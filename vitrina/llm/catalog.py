@@ -40,8 +40,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "token-files")
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    table = token_files.write(_table(spark, sf_dir, "documents"), folder, tokenizer, end_id=2)
-    return token_files.read(spark, folder, table)
+    token_files.write(_table(spark, sf_dir, "documents"), folder, tokenizer, end_id=2)
+    return token_files.read(spark, folder)
 
 
 @query("op7_packing")

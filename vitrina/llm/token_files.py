@@ -1,15 +1,18 @@
 """Token-id files: documents in ascending key order, entropy-coded in blocks that decode on their own.
 
 The container is Parquet, so that a lost executor's files are replaced as a whole and any store Spark knows can hold them; a row is
-one block of the format in ``rans``. A block holds whole documents, about ``BLOCK_TOKENS`` ids.
+one block of the format in ``rans``. A block holds whole documents, about ``BLOCK_TOKENS`` ids. A folder needs nothing beside it: the
+blocks lie in ``blocks``, the shared frequencies with their number in ``table`` and the tokenizer's digest with the end id in ``settings``.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -21,6 +24,7 @@ from vitrina.llm.tokens import id_width, token_table
 BLOCK_TOKENS = 1 << 20
 # Ids of one range partition; sets how many there are, from the total.
 PART_TOKENS = 1 << 25
+SETTINGS = "table long, size long, end_id long, tokenizer_sha256 string"
 
 
 def frequencies(tokens: DataFrame, kind: str) -> Table:
@@ -46,7 +50,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str =
     """Tokenize every whole text and write the blocks to ``folder`` in ascending ``key`` order, nulls first, ties by ids.
 
     A null or empty text has the end id only; repeated rows are written as often as they occur; an empty table gives no block.
-    ``key`` is a long. Returns the table that readers need.
+    ``key`` is a long. Returns the shared table, which is written as well.
     """
     spark = docs.sparkSession
     kind = id_width(tokenizer)
@@ -85,17 +89,41 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str =
             yield flush()
 
     ordered = tokens.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
-    ordered.mapInArrow(run, "part int, ahead long, n_tokens long, data binary").write.mode("overwrite").parquet(folder)
+    ordered.mapInArrow(run, "part int, ahead long, n_tokens long, data binary").write.mode("overwrite").parquet(f"{folder}/blocks")
+    used = np.flatnonzero(table.freq)
+    write_small(spark, pd.DataFrame({"id": used, "freq": table.freq[used]}), "id long, freq long", f"{folder}/table")
+    with open(tokenizer, "rb") as file:
+        digest = hashlib.file_digest(file, "sha256").hexdigest()
+    settings = pd.DataFrame({"table": [table.number], "size": [len(table.freq)], "end_id": [end_id], "tokenizer_sha256": [digest]})
+    write_small(spark, settings, SETTINGS, f"{folder}/settings")
     return table
 
 
-def read(spark: SparkSession, folder: str, table: Table) -> DataFrame:
+def write_small(spark: SparkSession, rows: pd.DataFrame, schema: str, path: str) -> None:
+    """A table no longer than the vocabulary, as one file."""
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_table(spark: SparkSession, folder: str) -> Table:
+    """The frequencies written beside the blocks, checked against their number."""
+    settings = spark.read.schema(SETTINGS).parquet(f"{folder}/settings").first()
+    rows = spark.read.schema("id long, freq long").parquet(f"{folder}/table").toPandas()
+    freq = np.zeros(settings["size"], np.int64)
+    freq[rows["id"].to_numpy(int)] = rows["freq"].to_numpy(int)
+    table = Table(freq)
+    if table.number != settings["table"]:
+        raise ValueError("the frequency table is damaged")
+    return table
+
+
+def read(spark: SparkSession, folder: str) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` of every document, decoded from the files: blocks in parallel, no order needed.
 
     ``start`` counts the ids of all documents before; the checksum is over the ids as little-endian 32-bit integers.
     """
     small_batches(spark)
-    blocks = spark.read.parquet(folder)
+    table = read_table(spark, folder)
+    blocks = spark.read.schema("part int, ahead long, n_tokens long, data binary").parquet(f"{folder}/blocks")
     sizes = sorted(map(tuple, blocks.groupBy("part").agg(F.sum("n_tokens")).collect()))  # one row for each partition
     starts, total = [], 0
     for part, n in sizes:
