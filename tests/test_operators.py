@@ -144,6 +144,32 @@ def test_embedding_groups_equal_the_sequential_pass(spark):
     assert {r["item"]: r["leader"] for r in embeddings.embedding_groups(df).collect()} == expected
 
 
+def test_pivot_cells_lose_no_pair_and_stay_small(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(40, 24))
+    points = np.repeat(centres, 20, axis=0) + rng.normal(size=(800, 24)) * rng.choice([0.1, 0.35], size=(800, 1))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    points[5] = 0
+    points[7] = points[8]
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "item long, vector array<double>").cache()
+    cosines = points @ points.T
+    for threshold, share in ((0.95, 0.1), (0.7, 1.0)):
+        pivots = embeddings.choose_pivots(df, threshold)
+        cells = embeddings.pivot_cells(df, pivots, threshold).cache()
+        expected = {(i, j) for i, j in zip(*np.nonzero(cosines >= threshold)) if i < j}
+        found = [(r["a"], r["b"]) for r in embeddings.close_pairs(cells, cells, threshold).collect()]
+        assert len(found) == len(set(found)) and set(found) == expected
+        sizes = [r["count"] for r in cells.selectExpr("explode(_keys) AS cell").groupBy("cell").count().collect()]
+        assert max(sizes) <= share * len(points)
+        leaders, groups = [], {}
+        for i in range(len(points)):
+            groups[i] = next((j for j in leaders if cosines[i, j] >= threshold), i)
+            if groups[i] == i:
+                leaders.append(i)
+        assert {r["item"]: r["leader"] for r in embeddings.vector_groups(df, threshold, block=200).collect()} == groups
+    assert embeddings.vector_groups(df.limit(0)).count() == 0
+
+
 def test_stl_parts_add_up_and_find_the_week(spark):
     days = pd.date_range("2024-01-01", periods=120).date
     y = [100 + 0.5 * i + (10 if i % 7 == 0 else 0) for i in range(120)]
