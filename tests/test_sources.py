@@ -1,3 +1,5 @@
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +69,31 @@ def test_stream_clean_equals_batch(spark, tmp_path):
     # A second run over the same folder finds nothing new.
     streams.stream_clean(stream, str(tmp_path / "ok"), str(tmp_path / "bad"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "ok")).count() == 1
+
+
+def test_stream_once_remembers_all_earlier_runs(spark, tmp_path):
+    def run(number, rows):
+        spark.createDataFrame(rows, "url string, n int, at timestamp").write.mode("append").parquet(str(tmp_path / "in"))
+        stream = streams.stream_files(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+        streams.stream_once(stream, ["url"], ["at"], str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+        return {(r["url"], r["n"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+
+    day = lambda d: datetime.datetime(2024, 1, d)
+    one = {("a", 1), (None, 4)}
+    assert run(0, [("a", 2, day(2)), ("a", 1, day(1)), (None, 4, day(1)), (None, 5, day(1))]) == one
+    # a month later and with an earlier time: the key stays as it was
+    assert run(1, [("a", 9, day(31)), (None, 0, day(1)), ("b", 3, day(31))]) == {*one, ("b", 3)}
+    assert run(2, [("a", 9, day(31)), ("b", 9, day(30))]) == {*one, ("b", 3)}
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_stream_dedupe_forgets_keys_beyond_the_delay(spark, tmp_path):
+    for number in range(6):
+        rows = [(f"u{number}-{i}", datetime.datetime(2024, 1, 1 + 3 * number, 0, i)) for i in range(20)] * 2
+        spark.createDataFrame(rows, "url string, at timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = streams.stream_files(spark, str(tmp_path / "in"), spark.createDataFrame([], "url string, at timestamp").schema)
+        run = streams.stream_dedupe(stream, ["url"], "at").writeStream.format("parquet").option(
+            "path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        run.awaitTermination()
+        assert sum(s["numRowsTotal"] for p in run.recentProgress[-1:] for s in p["stateOperators"]) <= 40
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 120

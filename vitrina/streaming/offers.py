@@ -6,13 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from vitrina.functions.dates import parse_date
 from vitrina.functions.money import PRICES, parse_price_columns, parse_rating, row_max_fill
 from vitrina.functions.text import canonical_category
 from vitrina.operators.quality import split_valid_rows
 from vitrina.schemas import RAW_OFFER_COLUMNS
+from vitrina.session import BROADCAST_ROWS
 
 
 def stream_files(spark: SparkSession, folder: str, schema: StructType, fmt: str = "parquet", pattern: str | None = None,
@@ -54,10 +55,36 @@ def stream_clean(offers: DataFrame, clean_path: str, quarantine_path: str, check
 
 
 def stream_dedupe(rows: DataFrame, keys: Sequence[str], time: str, delay: str = "1 day") -> DataFrame:
-    """The first row of each key; a repeat within the delay is dropped."""
+    """The first row of each key; a repeat within the delay is dropped and a key older than that is forgotten, so the state stays small."""
     return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
+def stream_once(rows: DataFrame, keys: Sequence[str], order: Sequence[str], path: str, checkpoint: str) -> StreamingQuery:
+    """Write the first row of each key by ``order`` below the number of its batch, and never that key again, in this run or a later one.
+
+    What was written is the memory: each batch leaves out the keys of all batches before it, however old, so no state is held and a
+    batch repeated after a failure replaces itself. Null is a key like any other; ties fall to the smallest of the other columns.
+    A batch of few keys is broadcast to the written ones, which are then read without a shuffle and for their keys alone.
+    """
+    rest = [c for c in rows.columns if c not in (*keys, *order)]
+    schema = StructType([*rows.schema.fields, StructField("batch", LongType())])
+
+    def write(batch: DataFrame, number: int) -> None:
+        first = batch.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("_first")).select(*keys, "_first.*").persist()
+        fresh = first
+        if number:
+            asked = first.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)])
+            same = lambda left, right: [left[k].eqNullSafe(right[f"_{i}"]) for i, k in enumerate(keys)]
+            done = batch.sparkSession.read.schema(schema).parquet(path).filter(F.col("batch") < number).select(*keys)
+            side = F.broadcast(asked) if first.count() <= BROADCAST_ROWS else asked
+            seen = done.join(side, same(done, side), "left_semi").select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)])
+            fresh = first.join(seen, same(first, seen), "left_anti")
+        fresh.select(*rows.columns).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        first.unpersist()
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stream_counts(rows: DataFrame, keys: Sequence[str], time: str, delay: str = "1 day", width: str = "1 day") -> DataFrame:
     """Rows per key and day; late rows within the delay still count."""
     return rows.withWatermark(time, delay).groupBy(F.window(time, width).alias("window"), *keys).agg(F.count(F.lit(1)).alias("n"))
