@@ -15,6 +15,8 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
+from vitrina.operators.lookup import attach
+
 # Canonical category spellings.
 CATEGORY_ALIASES = {"consolas": "consola", "Celular": "celular", "Consola": "consola"}
 
@@ -135,19 +137,27 @@ def remove_stopwords(text: Column, words: Sequence[str] | None = None) -> Column
 
 
 def lemmatise(df: DataFrame, text: str, lemmas: DataFrame, key: str) -> DataFrame:
-    """Replace each token by its lemma from a ``(form, lemma)`` table; unknown tokens stay.
+    """Replace each token by its lemma from a ``(form, lemma)`` table, as ``<text>_lemmas``; unknown tokens stay and NULL stays NULL.
 
-    The table may be of any size: tokens meet it in a join on the form, then each text is put
-    together again by its key.
+    ``key`` tells the texts apart. A table of bounded size is broadcast to the tokens, so that these are shuffled once only, back to
+    their texts; a larger one takes a join on the form, whose hot forms adaptive execution splits. Of several lemmas of a form the
+    first in order counts.
     """
+    listed = lemmas.groupBy("form").agg(F.min("lemma").alias("lemma"))
     tokens = df.select(key, F.posexplode(F.split(text, " ")).alias("_pos", "form"))
-    looked_up = tokens.join(lemmas.dropDuplicates(["form"]), "form", "left").groupBy(key).agg(
+    looked_up = attach(tokens, listed, ["form"]).groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("lemma", "form").alias("word")))).alias("_words")
     )
     joined = looked_up.select(key, F.array_join(F.transform("_words", lambda w: w["word"]), " ").alias(f"{text}_lemmas"))
     return df.join(joined, key, "left")
 
 
+def clean_text_lemmas(df: DataFrame, text: str, lemmas: DataFrame, key: str, words: Sequence[str] | None = None) -> DataFrame:
+    """``clean_text`` with its last step: normalised words without stop words, each replaced by its lemma, as ``<text>_clean``."""
+    cleaned = lemmatise(df.withColumn("_cleaned", clean_text(F.col(text), words)), "_cleaned", lemmas, key)
+    return cleaned.withColumnRenamed("_cleaned_lemmas", f"{text}_clean").drop("_cleaned")
+
+
 def newline_to_space(df: DataFrame) -> DataFrame:
     """Newlines become blanks in every string column."""
     names = {f.name for f in df.schema.fields if isinstance(f.dataType, StringType)}

@@ -74,10 +74,23 @@ SELECT doc_id, CAST(length(r) AS BIGINT) AS length, md5(r) AS digest FROM (
     lambda w: CASE WHEN length(w) > 3 AND w LIKE '%s' THEN w[:-2] ELSE w END), ' ') AS r FROM cleaned)""")
 def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", text.normalised_words(F.col("text")).alias("text"))
-    forms = docs.select(F.explode(F.split("text", " ")).alias("form")).distinct()
-    lemmas = forms.filter((F.length("form") > 3) & F.col("form").endswith("s")).withColumn(
-        "lemma", F.expr("left(form, length(form) - 1)"))
-    return text.lemmatise(docs, "text", lemmas, "doc_id").select("doc_id", *_digest(F.col("text_lemmas")))
+    return text.lemmatise(docs, "text", _lemmas(docs, "text"), "doc_id").select("doc_id", *_digest(F.col("text_lemmas")))
+
+
+def _lemmas(docs, column):
+    forms = docs.select(F.explode(F.split(column, " ")).alias("form")).distinct()
+    return forms.filter((F.length("form") > 3) & F.col("form").endswith("s")).withColumn("lemma", F.expr("left(form, length(form) - 1)"))
+
+
+@query("clean_text_lemmas", f"""
+SELECT doc_id, CAST(length(r) AS BIGINT) AS length, md5(r) AS digest FROM (
+  SELECT doc_id, array_to_string(list_transform(string_split(t, ' '),
+    lambda w: CASE WHEN length(w) > 3 AND w LIKE '%s' THEN w[:-2] ELSE w END), ' ') AS r
+  FROM (SELECT doc_id, {clean_sql('text')} AS t FROM documents))""")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lemmas = _lemmas(docs.select(text.clean_text(F.col("text")).alias("cleaned")), "cleaned")
+    return text.clean_text_lemmas(docs, "text", lemmas, "doc_id").select("doc_id", *_digest(F.col("text_clean")))
 
 
 @query("newline_to_space", _digest_sql("replace(text, chr(10), ' ')"))
