@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 CHECKED = (
     "mean_line", "clean_text", "parse_price", "trim_outliers", "box_stats_weekday", "kde", "profile_columns", "leader_groups",
-    "recommend_hybrid", "compare_recommenders", "lexicon_polarity", "product_cards", "reviews_container_message", "stream_counts", "stream_dedupe",
+    "recommend_hybrid", "compare_recommenders", "lexicon_polarity", "product_cards", "reviews_container_message", "reviews_paged_list", "reviews_nested", "stream_counts", "stream_dedupe", "lemmatise", "clean_text_lemmas",
 )
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are not here")

@@ -38,6 +38,20 @@ def test_review_pages_keep_every_url(spark):
     assert found == [("1", NO_SCORE, NO_COMMENT), ("1", NO_SCORE, "Muybueno"), ("2", NO_SCORE, NO_COMMENT), ("3", NO_SCORE, NO_COMMENT)]
 
 
+def test_pages_of_a_url_are_one_listing(spark):
+    listing = '<div id="yotpo-reviews-container">{}</div>'
+    review = '<div class="yotpo-review"><p class="yotpo-read-more-text">{}</p></div>'
+    score = '<b class="yotpo-bottom-line-left-panel yotpo-bottom-line-score">4,5</b>'
+    nested = '<i class="_numerator_7vdzo_22">3.9</i><div class="_review-text_xpeer_69"><div class="_review-text_16yc3_2">Muy <b>bien</b></div></div>'
+    pages = [
+        ("s", "1", "n", "paged_list", score + listing.format(review.format("uno") + '<div class="yotpo-review"></div>')),
+        ("s", "1", "n", "paged_list", listing.format(review.format("dos"))), ("s", "1", "n", "paged_list", listing.format("")),
+        ("s", "2", "n", "paged_list", score), ("s", "2", "n", "paged_list", ""), ("s", None, None, "nested", nested), ("s", "4", "n", "nested", "")]
+    found = html.page_reviews(spark.createDataFrame(pages, "store string, url string, name string, layout string, html string")).collect()
+    assert sorted((r["url"] or "", r["score"], r["comment"]) for r in found) == [
+        ("", "3.9", "Muybien"), ("1", "45", "dos"), ("1", "45", NO_COMMENT), ("1", "45", "uno"), ("2", "45", NO_COMMENT), ("4", NO_SCORE, NO_COMMENT)]
+
+
 def test_product_cards_mark_missing_fields(spark):
     page = '<div class="product-item"><a class="product-link" href="/x">y</a><h3 class="product-title"> TV </h3></div>'
     found = html.product_cards(spark.createDataFrame([("2025-01-01", "s", "c", page)], "captured_on string, store string, category string, html string")).first()

@@ -134,8 +134,8 @@ def _(spark, sf_dir):
 # A review per line of a text; a line with "the" has no message, so that each layout's rule for gaps shows.
 _LAYOUTS = {
     "container_message": ('<b data-fs-average-score="true">4.5</b>', '<div data-fs-reviews-container="true">', '<div data-fs-review-message="true">', "</div>", "</div>"),
-    "paged_list": ('<div id="yotpo-reviews-container">', '<div class="yotpo-review">', '<p class="yotpo-read-more-text">', "</p>", "</div>"),
-    "nested": ("<p>", '<div class="_review-text_xpeer_69">', '<div class="_review-text_16yc3_2">', "</div>", "</div>"),
+    "paged_list": ('<b class="yotpo-bottom-line-left-panel yotpo-bottom-line-score">4.5,</b><div id="yotpo-reviews-container">', '<div class="yotpo-review">', '<p class="yotpo-read-more-text">', "</p>", "</div>"),
+    "nested": ('<i class="_numerator_7vdzo_22">4.5</i><p>', '<div class="_review-text_xpeer_69">', '<div class="_review-text_16yc3_2">', "</div>", "</div>"),
     "article": ('<p class="ui-review-capability__rating__average">4.5</p>', '<article data-testid="comment-component">', '<p data-testid="comment-content-component">', "</p>", "</article>"),
     "by_class": ('<div class="vtex-reviews-and-ratings-3-x-reviewsRatingAverage">4.5</div>', '<div class="vtex-reviews-and-ratings-3-x-reviewCommentMessage">', "<div><span><span>", "</span></span></div>", "</div>"),
 }
@@ -164,7 +164,10 @@ SELECT lang AS store, '/d/' || doc_id AS url, source AS name, '{score}' AS score
 def _register_reviews(layout):
     @query(f"reviews_{layout}", _reviews_sql(layout))
     def _(spark, sf_dir):
-        return html.page_reviews(_review_pages(spark, sf_dir, layout)).withColumn(
+        pages = _review_pages(spark, sf_dir, layout)
+        if layout == "paged_list":  # each listing ends with a page that has neither a score nor reviews
+            pages = pages.withColumn("html", F.explode(F.array("html", F.lit("<p>"))))
+        return html.page_reviews(pages).withColumn(
             "digest", F.md5(F.col("comment").cast("binary"))).drop("comment")
 
 

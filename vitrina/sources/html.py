@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from vitrina.functions.text import strip_review_marks
 from vitrina.schemas import MISSING_FIELD, NO_COMMENT, NO_SCORE, RAW_OFFER_COLUMNS, STATUS_PROPERTY, UNAVAILABLE
+from vitrina.session import BROADCAST_ROWS, cut_lineage
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _SIMPLE = re.compile(r"([#.]?)([\w-]+)|\[([\w-]+)(?:=\"?([^\"\]]*)\"?)?\]")
@@ -172,8 +173,12 @@ REVIEW_RULES = {
     "container_message": RuleSet(
         'div[data-fs-reviews-container="true"]', (("comment", 'div[data-fs-review-message="true"]'),), NO_COMMENT, "stop",
         (("score", '[data-fs-average-score="true"]'),), pieces=True),
-    "paged_list": RuleSet("#yotpo-reviews-container .yotpo-review", (("comment", ".yotpo-read-more-text"),), NO_COMMENT),
-    "nested": RuleSet("div._review-text_xpeer_69", (("comment", "div._review-text_16yc3_2"),), NO_COMMENT, pieces=True),
+    "paged_list": RuleSet(
+        "#yotpo-reviews-container .yotpo-review", (("comment", ".yotpo-read-more-text"),), NO_COMMENT,
+        page_fields=(("score", ".yotpo-bottom-line-left-panel.yotpo-bottom-line-score"),)),
+    "nested": RuleSet(
+        "div._review-text_xpeer_69", (("comment", "div._review-text_16yc3_2"),), NO_COMMENT,
+        page_fields=(("score", "._numerator_7vdzo_22"),), pieces=True),
     "article": RuleSet(
         'article[data-testid="comment-component"]', (("comment", 'p[data-testid="comment-content-component"]'),), NO_COMMENT,
         page_fields=(("score", ".ui-review-capability__rating__average"),)),
@@ -181,6 +186,8 @@ REVIEW_RULES = {
         ".vtex-reviews-and-ratings-3-x-reviewCommentMessage", (("comment", "div > span > span"),), NO_COMMENT,
         page_fields=(("score", ".vtex-reviews-and-ratings-3-x-reviewsRatingAverage"),)),
 }
+# Letters cut from the score of a layout.
+SCORE_MARKS = {"paged_list": ","}
 # Phrases of pages that hold no product any more.
 UNAVAILABLE_PHRASES = ("página no existe", "Publicación pausada")
 
@@ -272,9 +279,24 @@ def specifications(pages: DataFrame) -> DataFrame:
 
 
 def page_reviews(pages: DataFrame) -> DataFrame:
-    """(store, url, name, score, comment) by each page's layout; every page keeps at least one row."""
+    """(store, url, name, score, comment) by each page's layout; every URL keeps at least one row.
+
+    Several pages of a URL are one listing: its score may stand on any of them (the first in order counts) and only a URL without any
+    review on all its pages has the sentinel, once.
+    """
     keys = ["store", "url", "name"]
-    found = extract_html(pages, REVIEW_RULES, keys)
-    rows = found.select(*keys, "page_fields", F.explode_outer("items").alias("_row"))
-    comment = F.when(F.col("_row").isNotNull(), strip_review_marks(F.col("_row")["comment"])).otherwise(NO_COMMENT)
-    return rows.select(*keys, F.coalesce(F.col("page_fields")["score"], F.lit(NO_SCORE)).alias("score"), comment.alias("comment"))
+    # read once: the listing is looked up from the same result
+    found = cut_lineage(extract_html(pages, REVIEW_RULES, keys))
+    score = F.col("page_fields")["score"]
+    for layout, marks in SCORE_MARKS.items():
+        score = F.when(F.col("layout") == layout, F.translate(F.col("page_fields")["score"], marks, "")).otherwise(score)
+    listing = cut_lineage(found.groupBy(*keys).agg(
+        F.coalesce(F.min(score), F.lit(NO_SCORE)).alias("score"), F.coalesce(F.max(F.size("items")) == 0, F.lit(True)).alias("_none")))
+    none = listing.filter("_none").select(*keys, "score", F.lit(NO_COMMENT).alias("comment"))
+    rows = found.select(*keys, F.explode("items").alias("_row"))
+    comment = strip_review_marks(F.col("_row")["comment"]).alias("comment")
+    small = listing.filter("NOT _none").toDF(*[f"_{k}" for k in keys], "score", "_none")
+    if small.count() <= BROADCAST_ROWS:
+        small = F.broadcast(small)
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return rows.join(small, same).select(*keys, "score", comment).unionByName(none)
