@@ -23,8 +23,6 @@ SHARD_TOKENS = 1 << 21
 SHARD_DOCS = 1 << 13
 # Ids of one range partition; sets how many there are, from the total.
 PART_TOKENS = 1 << 25
-# Terms of a seed that are scored first, those with the largest weights; the others follow as far as the order needs them.
-FIRST_TERMS = 16
 K1, B = 1.2, 0.75
 
 
@@ -56,57 +54,23 @@ class Index:
         doc = np.repeat(np.arange(len(docs), dtype=np.int32), np.diff(self.spans))
         norm = K1 * (1 - B + B * np.array([len(d) for d in docs], np.float32) / mean_length)
         weights = idf[terms] * counts * (K1 + 1) / (counts + norm[doc])
-        self.terms, self.weights = terms, weights  # by document
+        self.terms = terms  # by document
         order = np.argsort(terms, kind="stable")
-        self.doc, self.by_term = doc[order], weights[order]
+        # as wide as the sums take them, which saves a copy for each seed
+        self.doc, self.by_term = doc[order].astype(np.intp), weights[order].astype(np.float64)
         self.starts = np.searchsorted(terms[order], np.arange(len(idf) + 1))
-        used = np.flatnonzero(np.diff(self.starts))
-        self.largest = np.zeros(len(idf))
-        if len(used):
-            self.largest[used] = np.maximum.reduceat(self.by_term, self.starts[used])
-
-    def scores(self, seed: int, docs: np.ndarray) -> np.ndarray:
-        """Whole scores of some documents: the sums of their weights at all the seed's terms."""
-        asked = np.zeros(len(self.largest), bool)
-        asked[self.terms[self.spans[seed] : self.spans[seed + 1]]] = True
-        sizes = np.diff(self.spans)[docs]
-        at = np.repeat(self.spans[docs] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
-        return np.bincount(np.repeat(np.arange(len(docs)), sizes), self.weights[at] * asked[self.terms[at]], len(docs))
-
-    def neighbours(self, seed: int, left: np.ndarray, need: int, first: int = FIRST_TERMS) -> np.ndarray:
-        """Documents with ids ``left`` that share terms with the seed, best first, ties by place, until they hold ``need`` ids.
-
-        All terms of the seed count. Terms are added in the order of the seed's own weights, twice as many each time, until what the
-        rest could still add lifts few others above the documents that already suffice; only those that can rank are scored whole.
-        """
-        a, b = self.spans[seed], self.spans[seed + 1]
-        own = self.terms[a:b][np.argsort(-self.weights[a:b], kind="stable")]
-        rest = np.append(np.cumsum(self.largest[own][::-1])[::-1], 0.0)  # most that the terms from each place on can add
-        partial, done = np.zeros(len(left)), 0
-        while True:
-            until = min(len(own), max(first, 2 * done))
-            posts = [slice(self.starts[t], self.starts[int(t) + 1]) for t in own[done:until]]
-            if posts:
-                docs = np.concatenate([self.doc[p] for p in posts])
-                partial += np.bincount(docs, np.concatenate([self.by_term[p] for p in posts]), len(left))
-            done = until
-            found = np.flatnonzero((partial > 0) & (left > 0))
-            found = found[np.argsort(-partial[found], kind="stable")]
-            enough = int(np.searchsorted(np.cumsum(left[found]), need))  # the document that fills the window
-            if done == len(own):
-                if enough < len(found):
-                    found = found[: np.searchsorted(-partial[found], 1e-6 - partial[found[enough]], side="right")]
-                break
-            if enough < len(found):
-                could = np.flatnonzero((partial + rest[done] >= partial[found[enough]] - 1e-6) & (left > 0))
-                if len(could) <= 4 * (enough + 1) + 64:
-                    found = could
-                    break
-        score = self.scores(seed, found)
-        return found[np.lexsort((found, -score))]
+
+    def neighbours(self, seed: int, free: np.ndarray) -> np.ndarray:
+        """Free documents that share a term with the seed, best first by all of its terms, ties by place."""
+        own = self.terms[self.spans[seed] : self.spans[seed + 1]].astype(np.intp)
+        posts = [slice(a, b) for a, b in zip(self.starts[own].tolist(), self.starts[own + 1].tolist())]
+        score = np.bincount(
+            np.concatenate([self.doc[p] for p in posts]), np.concatenate([self.by_term[p] for p in posts]), len(free))
+        found = np.flatnonzero((score > 0) & free)
+        return found[np.argsort(-score[found], kind="stable")]
 
 
-def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int = WINDOW, first: int = FIRST_TERMS):
+def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int = WINDOW):
     """Sequences of pieces ``(document, start, length)``: full ones, and at the end some whose length is a power of two."""
     sequences: list[list[tuple[int, int, int]]] = []
     size = np.array([len(d) for d in docs])
@@ -133,7 +97,7 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, wind
         seed = at  # of a new window, or the next in order where the neighbours did not suffice
         place(seed)
         if space:
-            for d in index.neighbours(seed, left, space, first):
+            for d in index.neighbours(seed, left > 0):
                 place(d)
                 if not space:
                     break
