@@ -57,6 +57,7 @@ class Encoder(dict):
         head = self.tokenizer.to_str().partition('"model":')[0]
         self.kind = _kind(json.loads(head.rstrip(", \n") + "}"), self.tokenizer.model)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.older: dict[str | bytes, bytes] = {}
 
     def __missing__(self, chunk: str | bytes) -> bytes:
@@ -70,7 +71,14 @@ class Encoder(dict):
         return found
 
     def fresh(self, key: str | bytes) -> bytes:
-        chunk = key.decode() if self.kind == "word" else key
+        if self.kind == "word":
+            if key.isalpha():  # of bytes: ASCII letters only
+                return self.merged(key.decode().lower())
+            chunk = key.decode()
+        else:
+            chunk = key
+            if chunk.isascii() and (chunk[1:] if chunk[0] == " " else chunk).isalpha():
+                return self.merged(chunk.replace(" ", "\u0120"))
         if "<|" in chunk:
             raise OddText
         if chunk[-1] in ".,;:!?" and chunk[-2:-1] < "\u0100" and chunk[-2:-1].isalpha():
@@ -86,8 +94,11 @@ class Encoder(dict):
             letters = [p.replace(" ", "\u0120") for p in pieces]
         else:
             letters = [p.encode().decode("latin-1").translate(self.letters) for p in pieces]
-        ids = [t.id for p in letters for t in self.model.tokenize(p)]
-        return array("H" if self.dtype.itemsize == 2 else "I", ids).tobytes()
+        return b"".join(map(self.merged, letters))
+
+    def merged(self, piece: str) -> bytes:
+        """Ids of one piece in the letters of the model."""
+        return array(self.code, [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
