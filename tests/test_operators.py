@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from vitrina.functions.similarity import indel_ratios
-from vitrina.operators import decompose, density, embeddings, features, kmeans, lookup, matching, profile, quality, quantiles, recommend, reviews, series, stats
+from vitrina.operators import (
+    decompose, density, embeddings, features, kmeans, lda, lookup, matching, profile, quality, quantiles, recommend, reviews, series, stats, topics)
 
 
 def test_exact_quantiles_match_numpy(spark):
@@ -333,3 +334,28 @@ def test_association_matrix_with_nulls(spark):
     assert profile.association_matrix(df, [], ["a"]).count() == 0
     assert {r["measure"] for r in profile.association_matrix(df, ["u", "v w"], []).collect()} == {"pearson"}
     assert all(r["value"] is None for r in profile.association_matrix(df.limit(0), ["u", "v w"], ["a", "b"]).collect())
+
+
+def test_topics_part_documents_of_different_words(spark):
+    """Both sides of the counts: more documents than terms, and more terms than documents."""
+    few = [(i, " ".join(f"{'ab'[i % 2]}{(i + j) % 6}x" for j in range(5))) for i in range(60)]
+    many = [(i, " ".join(f"{'ab'[i % 2]}{j}x" for j in range(40) if (i + j) % 3)) for i in range(12)]
+    for rows in (few, many):
+        docs = spark.createDataFrame([*rows, (99, None)], "id long, text string")
+        cells, vocabulary = topics.document_cells(docs)
+        found, model = topics.lda_topics(docs, cells, k=2, iterations=20)
+        topic = {r["id"]: r["topic"] for r in found.collect()}
+        assert len(topic) == len(rows) + 1 and topic[99] == 0
+        assert len({topic[i] for i, _ in rows if i % 2 == 0}) == len({topic[i] for i, _ in rows if i % 2}) == 1 and topic[0] != topic[1]
+        words = {r["topic"]: r["topic_words"].split(" ") for r in topics.topic_words(model, vocabulary, 4).collect()}
+        assert [{w[0] for w in words[topic[i]]} for i in (0, 1)] == [{"a"}, {"b"}] and all(len(w) == 4 for w in words.values())
+
+
+def test_topic_model_keeps_the_larger_side_in_the_tasks(spark, monkeypatch):
+    """Three documents and many terms: the driver's matrix has three rows."""
+    shapes = []
+    step = lda._pass
+    monkeypatch.setattr(lda, "_pass", lambda rows, other, *rest: shapes.append(other.shape) or step(rows, other, *rest))
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(500) if j % 3 != i)) for i in range(3)], "id long, text string")
+    topics.lda_topics(docs, topics.document_cells(docs)[0], k=4, iterations=2)
+    assert shapes == [(3, 4)] * 2
