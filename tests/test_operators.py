@@ -359,3 +359,26 @@ def test_topic_model_keeps_the_larger_side_in_the_tasks(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(500) if j % 3 != i)) for i in range(3)], "id long, text string")
     topics.lda_topics(docs, topics.document_cells(docs)[0], k=4, iterations=2)
     assert shapes == [(3, 4)] * 2
+
+
+def test_bootstrap_bands_of_whole_and_cut_groups(spark, monkeypatch):
+    """Groups that fit a task hand on their band and no sums; groups cut into parts have the same band."""
+    rng = random.Random(3)
+    rows = [(i, f"g{i % 3}" if i < 400 else f"one{i}", rng.random()) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, g string, v double").repartition(7)
+    sums = []
+    parts = density._band_parts
+
+    def counted(*rest):
+        found = parts(*rest)
+        sums.append(found.filter("_sum IS NOT NULL").count())
+        return found
+
+    monkeypatch.setattr(density, "_band_parts", counted)
+    whole = sorted(density.mean_line_ci(df, "v", ["g"], "id", 100).collect())
+    monkeypatch.setattr(density, "PART", 20)
+    cut = sorted(density.mean_line_ci(df, "v", ["g"], "id", 100).collect())
+    assert sums[0] == 0 and sums[1] >= 18 and len(whole) == 203
+    assert [r[:1] + r[2:] for r in whole] == [r[:1] + r[2:] for r in cut]
+    assert all(r["low"] == r["high"] == pytest.approx(r["mean"], rel=1e-11) for r in whole if r["n"] == 1)
+    assert all(r["low"] < r["mean"] < r["high"] for r in whole if r["n"] > 1)
