@@ -11,6 +11,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from vitrina.functions import text
 from vitrina.functions.similarity import indel_ratios
 from vitrina.operators import (
     decompose, density, embeddings, features, kmeans, lda, lookup, matching, profile, quality, quantiles, recommend, reviews, series, stats, topics)
@@ -382,3 +383,23 @@ def test_bootstrap_bands_of_whole_and_cut_groups(spark, monkeypatch):
     assert [r[:1] + r[2:] for r in whole] == [r[:1] + r[2:] for r in cut]
     assert all(r["low"] == r["high"] == pytest.approx(r["mean"], rel=1e-11) for r in whole if r["n"] == 1)
     assert all(r["low"] < r["mean"] < r["high"] for r in whole if r["n"] > 1)
+
+
+def _between(df, upper, lower):
+    """The plan's nodes from the first ``upper`` down to the next ``lower``."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    at = plan.index(upper)
+    return plan[at:plan.index(lower, at)]
+
+
+def test_words_are_not_shuffled_to_their_texts(spark):
+    """Texts are partitioned by their key before they are words."""
+    docs = spark.createDataFrame([(1, "los gatos ven gatos"), (2, "gatos"), (3, None)], "k long, t string")
+    lemmas = spark.createDataFrame([("gatos", "gato")], "form string, lemma string")
+    found = text.lemmatise(docs, "t", lemmas, "k")
+    assert {r["k"]: r["t_lemmas"] for r in found.collect()} == {1: "los gato ven gato", 2: "gato", 3: None}
+    assert "Exchange hash" not in _between(found, "ObjectHashAggregate", "Generate")
+    lexicon = spark.createDataFrame([("gatos", "joy"), ("los", "fear"), ("ven", "fear")], "term string, emotion string")
+    found = reviews.lexicon_emotion(docs, "k", "t", lexicon)
+    assert {r["k"]: r["emotion_lexicon"] for r in found.collect()} == {1: "fear", 2: "joy", 3: "neutral"}
+    assert "Exchange hash" not in _between(found, "HashAggregate", "Generate")
