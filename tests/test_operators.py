@@ -403,3 +403,13 @@ def test_words_are_not_shuffled_to_their_texts(spark):
     found = reviews.lexicon_emotion(docs, "k", "t", lexicon)
     assert {r["k"]: r["emotion_lexicon"] for r in found.collect()} == {1: "fear", 2: "joy", 3: "neutral"}
     assert "Exchange hash" not in _between(found, "HashAggregate", "Generate")
+
+
+def test_count_vectors_drop_terms_before_they_are_counted(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"all w{i} even" if i % 2 == 0 else f"all w{i} w{i}") for i in range(20)], "id long, text string")
+    found = topics.count_vectors(docs)
+    assert "LeftSemi" in _between(found, "HashAggregate", "Generate")
+    rows = sorted(found.collect())
+    assert rows == [("even", i, 1) for i in range(0, 20, 2)]
+    monkeypatch.setattr(topics, "BROADCAST_ROWS", 0)
+    assert sorted(topics.count_vectors(docs).collect()) == rows
