@@ -413,3 +413,16 @@ def test_count_vectors_drop_terms_before_they_are_counted(spark, monkeypatch):
     assert rows == [("even", i, 1) for i in range(0, 20, 2)]
     monkeypatch.setattr(topics, "BROADCAST_ROWS", 0)
     assert sorted(topics.count_vectors(docs).collect()) == rows
+
+
+def test_recommenders_share_text_scores(spark, monkeypatch):
+    rows = spark.createDataFrame(
+        [(i, f"w{i % 3} w{i % 4}", float(i % 2), 0.9, 0.5, 1.0 + i / 10) for i in range(12)],
+        "id long, text string, sentiment double, ratio_store double, ratio_partner double, ratio_other double")
+    asked = spark.createDataFrame([(1,), (5,)], "query long")
+    docs = rows.select("id", "text")
+    alone = [sorted(f.collect()) for f in (recommend.recommend_text(docs, asked, stop=[]), recommend.recommend_hybrid(rows, asked, stop=[]))]
+    scores = recommend.text_scores(recommend.tfidf(docs, []), asked)
+    monkeypatch.setattr(recommend, "tfidf", None)
+    shared = [recommend.recommend_text(docs, asked, scores=scores), recommend.recommend_hybrid(rows, asked, scores=scores)]
+    assert [sorted(f.collect()) for f in shared] == alone
