@@ -392,3 +392,15 @@ def test_stages_stand_odd_tables(spark):
         assert kept.columns == mixed.columns == docs.columns
         assert kept.count() == (2 if table is docs else 0)  # the texts with words, and those without
         assert pieces.filter("doc_id = 1").isEmpty() == (table is not docs)
+
+
+def test_queries_go_through_a_tree_together():
+    rng = np.random.default_rng(8)
+    vectors = np.unique(rng.integers(-9, 9, size=(700, 4)), axis=0)
+    ids = [[int(i), 10_000 + int(i)] if i % 5 == 0 else [int(i)] for i in range(len(vectors))]
+    tree = mtree.build(vectors, ids, float((vectors.astype(float) ** 2).sum(1).max()))
+    own = np.array([0, 1, 5, 999_999])
+    line, vec_id, score = mtree.search(tree, vectors[[0, 1, 5, 7]], own, 4)
+    for i, at in enumerate((0, 1, 5, 7)):
+        pairs = [(-int(vectors[j] @ vectors[at]), v) for j, group in enumerate(ids) for v in group if v != own[i]]
+        assert [(-s, v) for s, v in zip(score[line == i].tolist(), vec_id[line == i].tolist())] == sorted(pairs)[:4]

@@ -2,13 +2,12 @@
 
 Vectors get one more component that gives all the same length, so the largest inner products are the nearest in a metric space. A
 shard of bounded size is an M-tree: nodes hold a routing vector, a covering radius and the distance to the parent; leaves are pages of
-vectors with their distances to the page's routing vector. A search opens nodes in the order of the best score they can hold, and
-skips children and page entries whose stored distances alone rule them out, without computing theirs.
+vectors with their distances to the page's routing vector. The queries of a batch go through a tree together. A search skips nodes
+that hold no score good enough, and children and page entries whose stored distances alone rule them out, without computing theirs.
 """
 
 from __future__ import annotations
 
-import heapq
 import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -89,46 +88,94 @@ def build(vectors: np.ndarray, ids: list[list[int]], top: float) -> Tree:
                 np.array([d for *_, d in nodes]), np.array(first), np.array(count), np.array(page), top)
 
 
-def search(tree: Tree, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-    """The ``k`` best ``(score, id)`` of a tree for an integer vector, ties to smaller ids, without the row ``own``."""
-    q = query.astype(float)
-    whole = float(q @ q) + tree.top
+def search(tree: Tree, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(query, id, score)``: the ``k`` best of a tree for each line of integer vectors, ties to smaller ids, without rows of its own id.
+
+    The queries go through the tree together, each first down to the page of the nearest routing vectors, which gives it a score to beat; a
+    node or page sees those queries alone that it is not ruled out for.
+    """
+    exact = float(np.abs(queries).max(initial=0)) * float(np.abs(tree.vectors).max(initial=0)) * queries.shape[1] < 2**53
+    q = queries.astype(float)
+    asked, vectors = (q, tree.vectors.astype(float)) if exact else (queries, tree.vectors)
+    lowest = -np.inf if exact else np.iinfo(np.int64).min
+    length = (q * q).sum(1)
+    whole = length + tree.top
     slack = SLACK * whole + 1
-    exact = float(np.abs(q).max(initial=0)) * float(np.abs(tree.vectors).max(initial=0)) * len(q) < 2**53
+    best = np.full((len(q), k), lowest, dtype=asked.dtype)  # scores of the best entries, the least first
+    sizes = np.array([len(ids) for ids in tree.ids])
+    ids, entry = np.concatenate([np.array(x, np.int64) for x in tree.ids]), np.repeat(np.arange(len(sizes)), sizes)
+    # entries that hold nothing but a query's own id
+    order = np.argsort(ids, kind="stable")
+    low, high = np.searchsorted(ids[order], own), np.searchsorted(ids[order], own, side="right")
+    mine = [(entry[order[i]], line) for line in np.flatnonzero(low < high) for i in range(low[line], high[line]) if sizes[entry[order[i]]] == 1]
+    barred = np.array(sorted(mine), np.int64).reshape(-1, 2)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def best_score(distance: np.ndarray) -> np.ndarray:
-        return (whole - np.maximum(distance, 0) ** 2) / 2 + slack
+    def best_score(lines: np.ndarray, distance: np.ndarray) -> np.ndarray:
+        wide = (slice(None), *[None] * (distance.ndim - 1))
+        return (whole[lines][wide] - np.maximum(distance, 0) ** 2) / 2 + slack[lines][wide]
 
-    def distance_to(nodes: slice | int) -> np.ndarray:
+    def distance_to(lines: np.ndarray, nodes: slice) -> np.ndarray:
         routing = tree.routing[nodes]
-        return np.sqrt(np.maximum(float(q @ q) + (routing**2).sum(-1) - 2 * (routing[..., :-1] @ q), 0))
+        return np.sqrt(np.maximum(length[lines][:, None] + (routing**2).sum(1) - 2 * (q[lines] @ routing[:, :-1].T), 0))
 
-    found: list[tuple[int, int]] = []  # a heap of (score, -id), the worst first
-    d = float(distance_to(0))
-    todo = [(-float(best_score(np.array(d - tree.radius[0]))), 0, d)]
-    while todo:
-        bound, node, d = heapq.heappop(todo)
-        if len(found) == k and -bound < found[0][0]:
-            break
-        least = found[0][0] if len(found) == k else -np.inf
+    def read_page(node: int, lines: np.ndarray, distance: np.ndarray) -> None:
         a, b = tree.first[node], tree.first[node] + tree.count[node]
+        may = best_score(lines, np.abs(distance[:, None] - tree.entry_distance[a:b])) >= best[lines, :1]
+        lines, entries = lines[may.any(1)], a + np.flatnonzero(may.any(0))
+        if not len(lines):
+            return
+        scores = asked[lines] @ vectors[entries].T
+        for e, line in barred[slice(*np.searchsorted(barred[:, 0], (a, b)))]:
+            scores[np.ix_(lines == line, entries == e)] = lowest
+        better = (scores >= best[lines, :1]).any(1)
+        lines, scores = lines[better], scores[better]
+        best[lines] = np.sort(np.partition(np.hstack([best[lines], scores]), -k, axis=1)[:, -k:], axis=1)
+        at, place = np.nonzero((scores >= best[lines, :1]) & (scores > lowest))
+        found.append((lines[at], entries[place], scores[at, place]))
+
+    every = np.arange(len(q))
+    down, away = np.zeros(len(q), dtype=np.int64), distance_to(every, slice(0, 1))[:, 0]
+    start = away
+    while not tree.page[down].all():
+        for node in np.unique(down[~tree.page[down]]):
+            lines = np.flatnonzero(down == node)
+            a = tree.first[node]
+            near = distance_to(lines, slice(a, a + tree.count[node]))
+            down[lines], away[lines] = a + near.argmin(1), near.min(1)
+    for node in np.unique(down):
+        lines = np.flatnonzero(down == node)
+        read_page(node, lines, away[lines])
+    todo = [(0, every, start.copy())]
+    while todo:
+        node, lines, distance = todo.pop()
+        open_ = best_score(lines, distance - tree.radius[node]) >= best[lines, 0]
+        lines, distance = lines[open_], distance[open_]
         if tree.page[node]:
-            open_ = a + np.flatnonzero(best_score(np.abs(d - tree.entry_distance[a:b])) >= least)
-            rows = tree.vectors[open_]
-            scores = (rows.astype(float) @ q).astype(np.int64) if exact else rows @ query
-            for i in np.flatnonzero(scores >= least):
-                for vec_id in tree.ids[open_[i]]:
-                    entry = (int(scores[i]), -vec_id)
-                    if vec_id != own and (len(found) < k or entry > found[0]):
-                        (heapq.heappush if len(found) < k else heapq.heapreplace)(found, entry)
-        else:
-            near = np.abs(d - tree.parent_distance[a:b]) - tree.radius[a:b]
-            open_ = a + np.flatnonzero(best_score(near) >= least)
-            away = distance_to(open_)
-            scores = best_score(away - tree.radius[open_])
-            for i in np.flatnonzero(scores >= least):
-                heapq.heappush(todo, (-float(scores[i]), int(open_[i]), float(away[i])))
-    return [(s, -i) for s, i in sorted(found, reverse=True)]
+            fresh = down[lines] != node
+            read_page(node, lines[fresh], distance[fresh])
+            continue
+        a, b = tree.first[node], tree.first[node] + tree.count[node]
+        near = np.abs(distance[:, None] - tree.parent_distance[a:b]) - tree.radius[a:b]
+        may = best_score(lines, near) >= best[lines, :1]
+        for child in range(a, b):
+            some = lines[may[:, child - a]]
+            if len(some):
+                todo.append((child, some, distance_to(some, slice(child, child + 1))[:, 0]))
+    line, at, score = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else [()] * 3))
+    kept = score >= best[line, 0]
+    line, at, score = line[kept], at[kept], score[kept].astype(np.int64)
+    ends = np.cumsum(sizes)
+    times = sizes[at]
+    place = np.repeat(ends[at] - np.cumsum(times), times) + np.arange(times.sum())
+    line, score, vec_id = np.repeat(line, times), np.repeat(score, times), ids[place]
+    other = vec_id != own[line]
+    line, score, vec_id = line[other], score[other], vec_id[other]
+    order = np.lexsort((vec_id, -score, line))
+    line, score, vec_id = line[order], score[order], vec_id[order]
+    first = np.searchsorted(line, line)  # of the query, in this order
+    top = np.arange(len(line)) - first < k
+    return line[top], vec_id[top], score[top]
 
 
 def quantised(vector: Column) -> Column:
@@ -198,13 +245,18 @@ def _searcher(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = None
         for batch in batches:
-            out: list[tuple[int, int, int]] = []
-            for i, v, data in zip(*(batch[c].to_pylist() for c in ("id", "v", "tree"))):
-                if data is not None:  # comes before the queries of its shard
-                    tree = Tree(*pickle.loads(data))
-                else:
-                    out += [(i, vec_id, score) for score, vec_id in search(tree, np.array(v, np.int64), i, k)]
-            columns = list(zip(*out)) or [()] * 3
+            # a tree comes before the queries of its shard
+            trees = np.flatnonzero(batch["tree"].is_valid().to_numpy(zero_copy_only=False))
+            out = []
+            for low, high in zip([0, *trees + 1], [*trees, batch.num_rows]):
+                if low and low - 1 in trees:
+                    tree = Tree(*pickle.loads(batch["tree"][int(low - 1)].as_py()))
+                if low < high:
+                    part = batch.slice(low, high - low)
+                    own = part["id"].to_numpy()
+                    line, vec_id, score = search(tree, part["v"].flatten().to_numpy().reshape(len(own), -1), own, k)
+                    out.append((own[line], vec_id, score))
+            columns = [np.concatenate(c) for c in zip(*out)] if out else [()] * 3
             yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
 
     return run
