@@ -150,4 +150,4 @@ def stl_decompose(series: DataFrame, keys: Sequence[str] = ("store",), period: i
     rows = series.select(*keys, "day", "mean").filter("mean IS NOT NULL")
     # The fit is all computation: a fixed partition count keeps the small series from being merged into one task.
     tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(tasks, *keys).sortWithinPartitions(*keys, "day").mapInPandas(decompose, schema)
+    return rows.repartition(tasks, *keys).sortWithinPartitions(*keys, F.col("day").asc_nulls_last()).mapInPandas(decompose, schema)
