@@ -6,7 +6,9 @@ import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -188,6 +190,8 @@ REVIEW_RULES = {
 }
 # Letters cut from the score of a layout.
 SCORE_MARKS = {"paged_list": ","}
+# Letters of pages whose rows a task holds at once, a longer page alone.
+PAGE_LETTERS = 1 << 20
 # Phrases of pages that hold no product any more.
 UNAVAILABLE_PHRASES = ("página no existe", "Publicación pausada")
 
@@ -210,6 +214,13 @@ def _rows(html: str, rules: RuleSet, known: dict) -> tuple[dict, list[dict]]:
     return page, rows
 
 
+def _parts(pages: Sequence[str | None]) -> list[slice]:
+    """Pages in a row that together hold about ``PAGE_LETTERS``."""
+    letters = np.cumsum([len(page) if isinstance(page, str) else 0 for page in pages], dtype=np.int64)
+    ends = (np.flatnonzero(np.diff(letters // PAGE_LETTERS)) + 1).tolist()
+    return [slice(a, b) for a, b in zip([0, *ends], [*ends, len(letters)])]
+
+
 def extract_html(pages: DataFrame, rules: dict[str, RuleSet], keys: Sequence[str], layout: str = "layout", html: str = "html") -> DataFrame:
     """``(keys, layout, items, page_fields, error)``: one row per page with its rows as maps.
 
@@ -219,9 +230,12 @@ def extract_html(pages: DataFrame, rules: dict[str, RuleSet], keys: Sequence[str
     source = pages.select(*keys, layout, html)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != html)
 
+    def parts(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        return (batch.iloc[part] for part in _parts(batch[html]))
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict = {}  # compiled selectors
-        for batch in batches:
+        for batch in chain.from_iterable(map(parts, batches)):
             out = []
             for name, page in zip(batch[layout], batch[html]):
                 try:
