@@ -426,3 +426,42 @@ def test_recommenders_share_text_scores(spark, monkeypatch):
     monkeypatch.setattr(recommend, "tfidf", None)
     shared = [recommend.recommend_text(docs, asked, scores=scores), recommend.recommend_hybrid(rows, asked, scores=scores)]
     assert [sorted(f.collect()) for f in shared] == alone
+
+
+def test_right_vectors_are_not_written(spark, monkeypatch):
+    """They stay in the tasks of their terms; entries are shuffled once, and the image alone in every round."""
+    columns, write = [], decompose.written
+    monkeypatch.setattr(decompose, "written", lambda df: columns.append(set(df.columns)) or write(df))
+    rows = [(i, f"t{j}", 1.0 + i * j) for i in range(6) for j in range(i, i + 3)]
+    assert len(decompose.truncated_svd(spark.createDataFrame(rows, "id long, term string, weight double"), 2, rounds=3).values) == 2
+    assert not any({"term", "vector"} <= c for c in columns)
+
+
+def test_words_are_counted_where_their_text_is(spark, monkeypatch):
+    plans, write = [], recommend.written
+    monkeypatch.setattr(recommend, "written", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    docs = spark.createDataFrame([(1, "red ring"), (1, "red"), (2, "blue ring"), (3, None)], "id long, text string")
+    weights = {(r["id"], r["term"]): r["weight"] for r in recommend.tfidf(docs).collect()}
+    assert set(weights) == {(1, "red"), (1, "ring"), (2, "blue"), (2, "ring")}
+    assert plans and plans[0].count("Exchange") == 1
+
+
+def test_series_of_one_length_are_fitted_together(spark):
+    y = np.random.default_rng(3).gamma(2, 100, size=(5, 60))
+    y[1] = 7.0
+    together = series.seasonal_trend(y)
+    for i in range(5):
+        assert all(np.array_equal(a[i], b[0]) for a, b in zip(together, series.seasonal_trend(y[i:i + 1])))
+    days = pd.date_range("2024-01-01", periods=60).date
+    days = [*days[:-1], None]  # a missing day comes last
+    rows = [(k, d, float(v)) for k, line in zip(["a", "b", None, "c", "d"], y) for d, v in zip(days, line)]
+    found = series.stl_decompose(spark.createDataFrame(rows, "store string, day date, mean double")).toPandas().sort_values("day", na_position="last")
+    assert np.array_equal(found[found.store.isna()].trend, together[0][2]) and np.array_equal(found[found.store == "d"].season, together[1][4])
+
+
+def test_offers_are_evaluated_once_for_their_clusters(spark, monkeypatch):
+    columns, write = [], features.written
+    monkeypatch.setattr(features, "written", lambda df: columns.append(df.columns) or write(df))
+    df = spark.range(40).selectExpr("id", "cast(id % 4 as double) a", "cast(id % 7 as double) b", "cast(id % 3 as string) c", "cast(id % 2 as string) d")
+    assert features.cluster_products(df, ["a", "b"], ("c", "d"), k=3, restarts=2).select("cluster").distinct().count() == 3
+    assert columns == [df.columns]

@@ -121,3 +121,37 @@ def test_product_pages_are_parsed_on_all_cores(spark, tmp_path):
     found = QUERIES["specifications"](spark, str(tmp_path))
     assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert found.select("url").distinct().count() == 200
+
+
+def test_a_task_holds_the_rows_of_few_pages():
+    pages = ["x" * html.PAGE_LETTERS, None, "y", "z" * html.PAGE_LETTERS, "w"]
+    parts = [pages[part] for part in html._parts(pages)]
+    assert sum(parts, []) == pages and all(sum(len(p or "") for p in part) <= html.PAGE_LETTERS + 1 for part in parts)
+    assert html._parts([]) == [slice(0, 0)]
+
+
+def test_rows_of_a_file_are_not_shuffled_for_its_dialect(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(",".join(RAW_OFFER_COLUMNS) + "\n" + ",".join("x" * 13) + "\n")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, _ = delimited.read_offers_csv(spark, str(tmp_path))
+        assert "SortMergeJoin" not in rows._jdf.queryExecution().executedPlan().toString() and rows.count() == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_line_items_are_not_sorted_for_their_offers(spark, tmp_path, monkeypatch):
+    from vitrina.plans import bindings
+    monkeypatch.setattr(bindings, "BROADCAST_ROWS", 1)
+    tables = {
+        "lineitem": "1L l_orderkey, 1 l_linenumber, id l_partkey, 3L l_suppkey, timestamp'2024-01-01' l_shipdate, 5.0D l_quantity, 2.0D l_extendedprice, "
+                    "0.0D l_discount, 0.0D l_tax, 'N' l_returnflag, 'O' l_linestatus",
+        "part": "id p_partkey, 'n' p_name, 'b' p_brand, 't' p_type", "supplier": "3L s_suppkey, 's' s_name"}
+    for name, columns in tables.items():
+        spark.range(1 if name == "supplier" else 2).selectExpr(*columns.split(", ")).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = bindings.offers(spark, str(tmp_path))
+        assert "SortMergeJoin" not in rows._jdf.queryExecution().executedPlan().toString() and rows.count() == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from vitrina.schemas import RAW_OFFERS
+from vitrina.session import BROADCAST_ROWS, cut_lineage
 
 CORRUPT = "corrupt_record"
 
@@ -39,7 +40,9 @@ def read_offers_csv(spark: SparkSession, folder: str, schema: StructType = RAW_O
     text in ``corrupt_record``, which is NULL for all others.
     """
     whole = StructType([*schema.fields, StructField(CORRUPT, StringType())])
-    dialects = file_dialects(spark, folder, len(schema), pattern)
+    # The headers are read once, and the names of the files go to the rows, so that no row is shuffled for its file.
+    dialects = cut_lineage(file_dialects(spark, folder, len(schema), pattern))
+    few = dialects.count() <= BROADCAST_ROWS
     parts = []
     for sep, encoding in DIALECTS:
         rows = (
@@ -48,7 +51,8 @@ def read_offers_csv(spark: SparkSession, folder: str, schema: StructType = RAW_O
             .option("multiLine", True).option("escape", '"').option("enforceSchema", True).option("mode", "PERMISSIVE")
             .option("pathGlobFilter", pattern).csv(folder).withColumn("file", F.col("_metadata.file_path"))
         )
-        parts.append(rows.join(dialects.filter(F.col("separator") == sep), "file", "left_semi"))
+        fitting = dialects.filter(F.col("separator") == sep)
+        parts.append(rows.join(F.broadcast(fitting) if few else fitting, "file", "left_semi"))
     return parts[0].unionByName(parts[1]), dialects.filter("error IS NOT NULL").select("file", "error")
 
 
