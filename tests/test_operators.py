@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import vector_to_array
@@ -352,6 +353,23 @@ def test_topics_part_documents_of_different_words(spark):
         assert [{w[0] for w in words[topic[i]]} for i in (0, 1)] == [{"a"}, {"b"}] and all(len(w) == 4 for w in words.values())
 
 
+def test_topic_counts_cut_the_texts_once(spark, monkeypatch):
+    """Texts of an id in several rows; words in too few or too many ids are left out."""
+    calls = []
+    count = topics.term_counts
+    monkeypatch.setattr(topics, "term_counts", lambda *args, **named: calls.append(args) or count(*args, **named))
+    rows = [(i // 2, "every" + " some" * (i < 20) + " rare" * (i == 0)) for i in range(40)]
+    docs = spark.createDataFrame([*rows, (99, None)], "id long, text string")
+    assert sorted(map(tuple, topics.count_vectors(docs).collect())) == [("some", i, 2) for i in range(10)]
+    assert len(calls) == 1
+
+
+def test_topic_chunks_stay_small():
+    rows = pa.record_batch({"id": pa.array(range(1000)), "columns": pa.array([[i % 3] for i in range(1000)]), "counts": pa.array([[1.0]] * 1000)})
+    chunks = list(lda._chunks(iter([rows]), 3))
+    assert max(len(c) for _, c in chunks) <= 256 and sum(c.sum() for _, c in chunks) == 1000
+
+
 def test_topic_model_keeps_the_larger_side_in_the_tasks(spark, monkeypatch):
     """Three documents and many terms: the driver's matrix has three rows."""
     shapes = []
