@@ -174,6 +174,15 @@ def test_cached_ids_are_the_library_s(name, monkeypatch):
     assert enc.encode(None) == b""
 
 
+@pytest.mark.parametrize("name, blank", [("word_bpe_49k.json", ""), ("byte_bpe_50k.json", " ")])
+def test_words_are_remembered_without_their_marks(name, blank):
+    """A word costs one call of the merge model, whatever mark follows it."""
+    enc = tokens.Encoder(public_tokenizers.path(name))
+    text = " été. été, été; été! (été)"
+    assert enc.encode(text) == enc.whole(text)
+    assert set(enc) == {f"{blank}été", ".", ",", ";", "!", f"{blank}(", ")"} | {"été"}
+
+
 def small_docs(spark):
     rng = random.Random(7)
     rows = [(i * 7 % 50, " ".join(rng.choices(["alpha", "beta", "gamma.", "Delta,", "xyz"], k=rng.randint(0, 900))), "k") for i in range(50)]

@@ -1,8 +1,8 @@
 """Exact, cached tokenization with a public tokenizer's file.
 
-The ids of a text are those of the tokenizers library. Most texts are cut at blanks, where the pre-tokenizers cut in any case, and
-the ids of each chunk are remembered; a new chunk of plain letters, digits and marks goes straight to the library's merge model.
-A text with unusual blanks or a possible special token is encoded whole.
+The ids of a text are those of the tokenizers library. A text of plain letters, digits and marks is cut into the pieces of the
+pre-tokenizer; others are cut at blanks, where the pre-tokenizers cut in any case. The ids of each piece or chunk are remembered; a new
+one of plain characters goes straight to the library's merge model. A text with unusual blanks or a possible special token is encoded whole.
 """
 
 from __future__ import annotations
@@ -28,18 +28,23 @@ _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 _ODD = re.compile("[%s]|<\\|" % "".join(map(chr, (
     *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))))
 _PLAIN = re.compile(f"[\x00-\x7f{_LETTER[6:]}]*")
+_PLAIN_TEXT = re.compile(f"[\x00-\x1b\x20-\x7f{_LETTER[6:]}]*")
+_LETTERS = re.compile(f" ?[{_LETTER}]+")
 _KINDS = {
     # splits of the two public pre-tokenizers, for plain chunks
     "byte": re.compile(rf"{_ENDINGS}| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+", re.ASCII),
     "word": re.compile(rf"{_ENDINGS}|[{_LETTER}]+|[0-9]|[^\s{_LETTER}0-9]+", re.ASCII),
 }
 _CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+", re.ASCII)
+# A single one after a letter is always a piece of its own.
+_MARKS = ".,;:!?"
 
 
 def _byte_letters() -> dict[int, int]:
-    """The public byte-level alphabet: printable Latin-1 stands for itself, other bytes for the letters from 256 on."""
+    """The public byte-level alphabet: printable Latin-1 stands for itself, other bytes for the letters from 256 on. It names every byte,
+    as a missing one makes a translation slow."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
 
 
 class OddText(Exception):
@@ -57,6 +62,7 @@ class Encoder(dict):
         head = self.tokenizer.to_str().partition('"model":')[0]
         self.kind = _kind(json.loads(head.rstrip(", \n") + "}"), self.tokenizer.model)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.tokenize = getattr(self.model, "tokenize", None)
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.older: dict[str | bytes, bytes] = {}
 
@@ -71,34 +77,28 @@ class Encoder(dict):
         return found
 
     def fresh(self, key: str | bytes) -> bytes:
-        if self.kind == "word":
-            if key.isalpha():  # of bytes: ASCII letters only
-                return self.merged(key.decode().lower())
-            chunk = key.decode()
-        else:
-            chunk = key
-            if chunk.isascii() and (chunk[1:] if chunk[0] == " " else chunk).isalpha():
-                return self.merged(chunk.replace(" ", "\u0120"))
+        chunk = key if isinstance(key, str) else key.decode()
+        text = chunk.lower() if self.kind == "word" else chunk
+        if _LETTERS.fullmatch(text):
+            return self.merged(text.replace(" ", "\u0120") if text.isascii() else self.shown(text))
         if "<|" in chunk:
             raise OddText
-        if chunk[-1] in ".,;:!?" and chunk[-2:-1] < "\u0100" and chunk[-2:-1].isalpha():
-            return self[key[:-1]] + self[key[-1:]]  # a single mark after a letter is always a piece of its own
+        if chunk[-1] in _MARKS and chunk[-2:-1] < "\u0100" and chunk[-2:-1].isalpha():
+            return self[key[:-1]] + self[key[-1:]]
         shown = chunk.isascii() and chunk.isprintable()
         if not shown and self.kind == "byte" and _ODD.search(chunk):
             raise OddText
         if not shown and not _PLAIN.fullmatch(chunk):
             return self.whole(chunk)
-        text = chunk.lower() if self.kind == "word" else chunk
-        pieces = [text] if text.isalpha() or text[:1] == " " and text[1:].isalpha() else _KINDS[self.kind].findall(text)
-        if shown:
-            letters = [p.replace(" ", "\u0120") for p in pieces]
-        else:
-            letters = [p.encode().decode("latin-1").translate(self.letters) for p in pieces]
-        return b"".join(map(self.merged, letters))
+        return b"".join(self.merged(p.replace(" ", "\u0120") if shown else self.shown(p)) for p in _KINDS[self.kind].findall(text))
+
+    def shown(self, piece: str) -> str:
+        """The bytes of a piece in the letters of the model."""
+        return piece.encode().decode("latin-1").translate(self.letters)
 
     def merged(self, piece: str) -> bytes:
         """Ids of one piece in the letters of the model."""
-        return array(self.code, [t.id for t in self.model.tokenize(piece)]).tobytes()
+        return array(self.code, [t.id for t in self.tokenize(piece)]).tobytes()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -109,8 +109,10 @@ class Encoder(dict):
             return b""
         if self.kind is None:
             return self.whole(text)
-        # bytes split at the six ASCII blanks only
-        chunks = text.encode().split() if self.kind == "word" else _CHUNK.findall(text)
+        if "<|" not in text and _PLAIN_TEXT.fullmatch(text):
+            chunks = _KINDS[self.kind].findall(text.lower() if self.kind == "word" else text)
+        else:  # bytes split at the six ASCII blanks only
+            chunks = text.encode().split() if self.kind == "word" else _CHUNK.findall(text)
         try:
             return b"".join(map(self.__getitem__, chunks))
         except OddText:
