@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from vitrina.operators.quantiles import exact_quantiles
+from vitrina.operators.quantiles import quantiles_of_counts
 from vitrina.session import written
 
 
@@ -22,11 +22,11 @@ def profile_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.count_if(value == 0).alias("zeros"), F.min(value).alias("min"), F.max(value).alias("max"),
         F.avg(value).alias("mean"), F.stddev_samp(value).alias("deviation"),
         F.skewness(value).alias("skewness"), F.kurtosis(value).alias("kurtosis"))
-    # Distinct values collapse by (column, value) first, so no task sees a whole column.
-    distinct = long.filter(value.isNotNull()).select("column", "_v").distinct().groupBy("column").agg(
-        F.count(F.lit(1)).alias("distinct_values"))
+    # Distinct values collapse by (column, value) first, so no task sees a whole column; the quartiles come from them too.
+    counts = written(long.filter(value.isNotNull()).groupBy("column", "_v").agg(F.count(F.lit(1)).alias("n")))
+    distinct = counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_values"))
     at = lambda p: F.max(F.when(F.col("prob") == p, F.col("quantile")))
-    quartiles = exact_quantiles(long, "_v", (0.25, 0.5, 0.75), ["column"]).groupBy("column").agg(
+    quartiles = quantiles_of_counts(counts, "_v", (0.25, 0.5, 0.75), ["column"]).groupBy("column").agg(
         at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"))
     return base.join(distinct, "column", "left").join(quartiles, "column", "left").withColumn(
         "distinct_values", F.coalesce("distinct_values", F.lit(0)))

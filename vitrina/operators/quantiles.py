@@ -86,6 +86,34 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: S
     return reduce(DataFrame.unionByName, done).select(*groups, F.inline(quantiles))
 
 
+def quantiles_of_counts(counts: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str]) -> DataFrame:
+    """``(groups, prob, quantile)`` as ``exact_quantiles``, from distinct values with their numbers of rows in ``n``.
+
+    The values are sorted in ranges, whose sums tell which of them hold the ranks; a window sees the values of one range.
+    """
+    keys = [F.col(g) for g in groups]
+    rows = counts.select(*groups, F.col(value).alias("_v"), "n").filter("_v IS NOT NULL")
+    ranged = written(rows.repartitionByRange(*keys, "_v").sortWithinPartitions(*groups, "_v").withColumn("_part", F.spark_partition_id()))
+    upto = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    parts = ranged.groupBy(*groups, "_part").agg(F.sum("n").alias("_rows")).withColumns({
+        "_end": F.sum("_rows").over(upto), "_size": F.sum("_rows").over(Window.partitionBy(*groups))})
+    place = F.col("prob") * (F.col("_size") - 1)
+    asked = parts.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs]))).withColumns(
+        {"_share": place - F.floor(place), "_side": F.array(F.floor(place), F.ceil(place))}).select(
+        *groups, "_part", "prob", "_share", (F.col("_end") - F.col("_rows")).alias("_before"), "_end", F.posexplode("_side").alias("_high", "_rank"))
+    asked = cut_lineage(asked.filter((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_end"))))
+    small = asked.count() <= BROADCAST_ROWS
+    wanted = asked.select(*groups, "_part", "_before").distinct()
+    inside = Window.partitionBy(*groups, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    held = ranged.join(F.broadcast(wanted) if small else wanted, [*groups, "_part"]).withColumn("_last", F.col("_before") + F.sum("n").over(inside) - 1)
+    ranks = asked.drop("_before", "_end")
+    found = held.join(F.broadcast(ranks) if small else ranks, [*groups, "_part"]).filter(
+        F.col("_rank").between(F.col("_last") - F.col("n") + 1, F.col("_last")))
+    at = lambda high: F.max(F.when(F.col("_high") == high, F.col("_v")))
+    ends = found.groupBy(*groups, "prob").agg(at(0).alias("_low"), at(1).alias("_up"), F.max("_share").alias("_share"))
+    return ends.select(*groups, "prob", (F.col("_low") + (F.col("_up") - F.col("_low")) * F.col("_share")).alias("quantile"))
+
+
 def box_stats(df: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:
     """Quartiles, whiskers at the last points within 1.5 interquartile ranges, and outlier count."""
     groups = list(groups)
