@@ -353,6 +353,16 @@ def test_topics_part_documents_of_different_words(spark):
         assert [{w[0] for w in words[topic[i]]} for i in (0, 1)] == [{"a"}, {"b"}] and all(len(w) == 4 for w in words.values())
 
 
+def test_quantiles_of_counts_match_numpy(spark):
+    rng = np.random.default_rng(4)
+    rows = [("hot", float(v)) for v in rng.normal(size=3000).round(1)] + [("one", 5.0), ("few", 1.0), ("few", 2.0), ("few", 2.0), (None, 3.0), ("none", None)]
+    counts = spark.createDataFrame(rows, "g string, v double").groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+    found = {(r["g"], r["prob"]): r["quantile"] for r in quantiles.quantiles_of_counts(counts.filter("g IS NOT NULL"), "v", (0.0, 0.01, 0.25, 0.5, 1.0), ["g"]).collect()}
+    for (g, p), value in found.items():
+        assert value == pytest.approx(np.quantile([v for h, v in rows if h == g], p))
+    assert len(found) == 15
+
+
 def test_topic_counts_cut_the_texts_once(spark, monkeypatch):
     """Texts of an id in several rows; words in too few or too many ids are left out."""
     calls = []
