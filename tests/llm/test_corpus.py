@@ -403,6 +403,28 @@ def test_stages_stand_odd_tables(spark):
         assert pieces.filter("doc_id = 1").isEmpty() == (table is not docs)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_cuts_at_blanks_and_marks_are_the_pieces(name):
+    """Short texts of all that decides on the cuts, each with an encoder that has to find their pieces anew."""
+    enc, library = tokens.Encoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+    rng = np.random.default_rng(5)
+    parts = ["Ab", "né", "7", "42", " ", "\n", "\t", ".", ",", "!", "$", "-", "'s", "'t", "'", "(", ")", "\x01"]
+    for weights in (np.ones(len(parts)), np.array([9, 9, 1, 1, 9, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0, 0])):
+        for picks in rng.choice(len(parts), (1500, 12), p=weights / weights.sum()):
+            text = "".join(parts[i] for i in picks)
+            assert [p for c in enc.pieces(text) for p in tokens._KINDS[enc.kind].findall(c)] == tokens._KINDS[enc.kind].findall(
+                text.lower() if enc.kind == "word" else text), repr(text)
+            assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_remembered_chunks_are_freed():
+    enc = tokens.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    before = enc.encode("a few words")
+    enc.older = dict(enc)
+    tokens.forget()
+    assert not enc and not enc.older and enc.encode("a few words") == before
+
+
 def test_queries_go_through_a_tree_together():
     rng = np.random.default_rng(8)
     vectors = np.unique(rng.integers(-9, 9, size=(700, 4)), axis=0)

@@ -69,22 +69,22 @@ def encode(ids: np.ndarray, table: Table, docs: np.ndarray, sizes: np.ndarray, a
     lanes = max(1, min(LANES, n // 64))
     steps = -(-n // lanes)
     x = np.full(lanes, LOW, np.uint64)
-    f, c = table.freq64[ids], table.start[ids]
-    limit = f << np.uint64(63 - SCALE_BITS)
+    freq, start, room = table.freq64, table.start, np.uint64(63 - SCALE_BITS)
     mask32, bits = np.uint64(0xFFFFFFFF), np.uint64(SCALE_BITS)
     words: list[np.ndarray] = []
     written, checks = 0, []
     for s in range(steps - 1, -1, -1):
         a, b = s * lanes, min(n, (s + 1) * lanes)
-        y, fs = x[: b - a], f[a:b]
-        full = y >= limit[a:b]
+        y, step = x[: b - a], ids[a:b]
+        fs = freq[step]
+        full = y >= fs << room
         out = (y[full] & mask32).astype("<u4")
         if len(out):
             words.append(out)
             written += len(out)
             y = np.where(full, y >> _WORD, y)
         q = y // fs
-        x[: b - a] = (q << bits) + (y - q * fs) + c[a:b]
+        x[: b - a] = (q << bits) + (y - q * fs) + start[step]
         if s % CHECK_STEPS == 0:
             checks.append((s, written, x.copy()))
     checks = [(s, written - w, state) for s, w, state in reversed(checks)]

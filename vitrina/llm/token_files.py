@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vitrina.llm.base import small_batches, stored
 from vitrina.llm.rans import Block, Table, encode
-from vitrina.llm.tokens import id_width, token_table
+from vitrina.llm.tokens import forget, id_width, token_table
 
 BLOCK_TOKENS = 1 << 20
 # Ids of one range partition; sets how many there are, from the total.
@@ -31,6 +31,7 @@ def frequencies(tokens: DataFrame, kind: str) -> Table:
     """The shared table from the counts of all ids of all documents; as long as the vocabulary, so it may reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         counts = np.zeros(0, np.int64)
         for batch in batches:
             more = np.bincount(np.frombuffer(b"".join(batch["ids"].to_pylist()), kind))
@@ -61,6 +62,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str =
     shared = spark.sparkContext.broadcast(table.freq)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         own, part, ahead = Table(shared.value), TaskContext.get().partitionId(), 0
         keys: list = []
         held: list[bytes] = []

@@ -1,8 +1,9 @@
 """Exact, cached tokenization with a public tokenizer's file.
 
 The ids of a text are those of the tokenizers library. A text of plain letters, digits and marks is cut into the pieces of the
-pre-tokenizer; others are cut at blanks, where the pre-tokenizers cut in any case. The ids of each piece or chunk are remembered; a new
-one of plain characters goes straight to the library's merge model. A text with unusual blanks or a possible special token is encoded whole.
+pre-tokenizer, by string methods if blanks and single marks settle the pieces; others are cut at blanks, where the pre-tokenizers cut in any
+case. The ids of each piece or chunk are remembered; a new one of plain characters goes straight to the library's merge model. A text with
+unusual blanks or a possible special token is encoded whole.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from vitrina.llm.base import small_batches
 
 # Chunks in a generation of a worker's memory; bounds its size, not the result.
-CACHE_CHUNKS = 1 << 17
+CACHE_CHUNKS = 1 << 18
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -38,6 +40,8 @@ _KINDS = {
 _CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+", re.ASCII)
 # A single one after a letter is always a piece of its own.
 _MARKS = ".,;:!?"
+# Marks in a row are one piece, so a text with them is not cut before each mark; with others after letters, too many chunks are new.
+_ROW = re.compile(rf"[^\s{_LETTER}0-9](?:(?<=[^\s{_LETTER}0-9].)|(?<=[{_LETTER}][^{_MARKS}]))", re.ASCII)
 
 
 def _byte_letters() -> dict[int, int]:
@@ -79,6 +83,10 @@ class Encoder(dict):
     def fresh(self, key: str | bytes) -> bytes:
         chunk = key if isinstance(key, str) else key.decode()
         text = chunk.lower() if self.kind == "word" else chunk
+        if text.isascii() and text.isalpha():
+            return self.merged(text)
+        if text.isascii() and text[0] == " " and text[1:].isalpha():
+            return self.merged("\u0120" + text[1:])
         if _LETTERS.fullmatch(text):
             return self.merged(text.replace(" ", "\u0120") if text.isascii() else self.shown(text))
         if "<|" in chunk:
@@ -103,6 +111,16 @@ class Encoder(dict):
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def pieces(self, text: str) -> list[str]:
+        """A plain text cut where the pre-tokenizer cuts, or at some of these places."""
+        if self.kind == "word":
+            text = text.lower()
+            if not _ROW.search(text):
+                for mark in _MARKS:
+                    text = text.replace(mark, " " + mark)
+                return text.split()
+        return _KINDS[self.kind].findall(text)
+
     def encode(self, text: str | None) -> bytes:
         """Ids of the text as little-endian integers of ``dtype``; none for null."""
         if not text:
@@ -110,7 +128,7 @@ class Encoder(dict):
         if self.kind is None:
             return self.whole(text)
         if "<|" not in text and _PLAIN_TEXT.fullmatch(text):
-            chunks = _KINDS[self.kind].findall(text.lower() if self.kind == "word" else text)
+            chunks = self.pieces(text)
         else:  # bytes split at the six ASCII blanks only
             chunks = text.encode().split() if self.kind == "word" else _CHUNK.findall(text)
         try:
@@ -144,6 +162,23 @@ def encoder(path: str) -> Encoder:
     return kept[path]
 
 
+def forget() -> None:
+    """Frees the chunks that the worker remembers, so that the stages behind have their memory."""
+    for kept in vars(tokenizers).get("_vitrina_encoders", {}).values():
+        kept.clear()
+        kept.older = {}
+
+
+def binaries(items: list[bytes]) -> pa.Array:
+    """As ``pa.array`` of them, which would load pandas into the worker and take its memory."""
+    places = np.array([0, *accumulate(map(len, items))], np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(items), [None, pa.py_buffer(places), pa.py_buffer(b"".join(items))])
+
+
+def longs(items: list[int]) -> pa.Array:
+    return pa.Array.from_buffers(pa.int64(), len(items), [None, pa.py_buffer(np.array(items, np.int64))])
+
+
 def token_table(docs: DataFrame, path: str, end_id: int, key: str = "doc_id") -> DataFrame:
     """``(doc_id, ids, n_tokens)`` of every row: ids as little-endian bytes, the end id last; a null text has the end id only."""
     small_batches(docs.sparkSession)
@@ -154,8 +189,8 @@ def token_table(docs: DataFrame, path: str, end_id: int, key: str = "doc_id") ->
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
             ids = [enc.encode(t) + end for t in batch["text"].to_pylist()]
-            sizes = pa.array([len(i) // enc.dtype.itemsize for i in ids], pa.int64())
-            yield pa.record_batch([batch["doc_id"], pa.array(ids, pa.binary()), sizes], ["doc_id", "ids", "n_tokens"])
+            sizes = longs([len(i) // enc.dtype.itemsize for i in ids])
+            yield pa.record_batch([batch["doc_id"], binaries(ids), sizes], ["doc_id", "ids", "n_tokens"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, ids binary, n_tokens long")
