@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from vitrina.llm.base import small_batches, stored
-from vitrina.llm.tokens import encoder, id_width
+from vitrina.llm.tokens import binaries, encoder, forget, id_width, longs
 
 WINDOW = 4096
 # A shard ends with the document that reaches either of these.
@@ -121,6 +121,7 @@ def document_frequencies(tokens: DataFrame, kind: str) -> np.ndarray:
     """In how many documents each id occurs; as long as the vocabulary, so it may reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         df = np.zeros(1 << 16, np.int64)
         for batch in batches:
             terms = np.concatenate([term_counts(np.frombuffer(i.as_buffer(), kind))[0] for i in batch["ids"]] or [np.zeros(0, kind)])
@@ -149,8 +150,8 @@ def laid_out(docs: DataFrame, tokenizer: str, end_id: int, key: str) -> DataFram
             ids = [enc.encode(t) + end for t in batch["text"].to_pylist()]
             arrays = [np.frombuffer(i, enc.dtype) for i in ids]
             yield pa.record_batch(
-                [batch["doc_id"], pa.array(ids, pa.binary()), pa.array([len(a) for a in arrays], pa.int64()),
-                 pa.array([shingle_key(a) for a in arrays], pa.int64())], ["doc_id", "ids", "n_tokens", "near"])
+                [batch["doc_id"], binaries(ids), longs([len(a) for a in arrays]), longs([shingle_key(a) for a in arrays])],
+                ["doc_id", "ids", "n_tokens", "near"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, ids binary, n_tokens long, near long")
@@ -173,6 +174,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", wind
     parts = max(spark.sparkContext.defaultParallelism, -(-total // PART_TOKENS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         keys: list = []
         held: list[np.ndarray] = []
         size, sequence = 0, TaskContext.get().partitionId() << 40
