@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vitrina.llm.base import small_batches, stored
 from vitrina.llm.rans import Block, Table, encode
-from vitrina.llm.tokens import forget, id_width, token_table
+from vitrina.llm.tokens import binaries, forget, id_width, longs, token_table
 
 BLOCK_TOKENS = 1 << 20
 # Ids of one range partition; sets how many there are, from the total.
@@ -39,7 +39,7 @@ def frequencies(tokens: DataFrame, kind: str) -> Table:
                 counts, more = more.astype(np.int64), counts
             counts[: len(more)] += more
         found = np.flatnonzero(counts)
-        yield pa.record_batch([pa.array(found), pa.array(counts[found])], ["id", "n"])
+        yield pa.record_batch([longs(found), longs(counts[found])], ["id", "n"])
 
     rows = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(int(rows["id"].max()) + 1 if len(rows) else 0, np.int64)
@@ -75,7 +75,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str =
             absent = np.array([k is None for k in keys])
             data = encode(ids, own, np.array([k or 0 for k in keys], np.int64), np.array([len(h) // width for h in held]), absent)
             row = pa.record_batch(
-                [pa.array([part], pa.int32()), pa.array([ahead]), pa.array([len(ids)]), pa.array([data], pa.binary())],
+                [longs([part]).cast(pa.int32()), longs([ahead]), longs([len(ids)]), binaries([data])],
                 ["part", "ahead", "n_tokens", "data"])
             keys, held, size, ahead = [], [], 0, ahead + len(ids)
             return row

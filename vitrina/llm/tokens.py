@@ -175,7 +175,7 @@ def binaries(items: list[bytes]) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(items), [None, pa.py_buffer(places), pa.py_buffer(b"".join(items))])
 
 
-def longs(items: list[int]) -> pa.Array:
+def longs(items: list[int] | np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.int64(), len(items), [None, pa.py_buffer(np.array(items, np.int64))])
 
 
