@@ -1,5 +1,6 @@
 import datetime
 import math
+import os
 import random
 
 import numpy as np
@@ -465,6 +466,40 @@ def test_right_vectors_are_not_written(spark, monkeypatch):
     assert not any({"term", "vector"} <= c for c in columns)
 
 
+def test_svd_parts_terms_and_leaves_no_image(spark, monkeypatch):
+    """Frequent terms, groups of other terms and terms of one row, in many blocks; the tables of a round go with it."""
+    matrix = np.random.default_rng(5).random((60, 40)) * (np.random.default_rng(6).random((60, 40)) < np.linspace(0.9, 0.02, 40))
+    rows = [(f"d{i}", f"t{j}", float(matrix[i, j])) for i, j in zip(*matrix.nonzero())]
+    weights, paths = spark.createDataFrame(rows, "id string, term string, weight double"), []
+    for name, value in {"COMMON": 9, "BLOCK_ROWS": 6, "PARTS": 3, "PART_BLOCKS": 4, "GROUPS": 2, "GROUP_TERMS": 5, "LONG": 8, "STEP": 16}.items():
+        monkeypatch.setattr(decompose, name, value)
+    path = decompose.scratch_path
+    monkeypatch.setattr(decompose, "scratch_path", lambda *args: paths.append(path(*args)) or paths[-1])
+    found = decompose.truncated_svd(weights, 4, rounds=15)
+    u, s, _ = np.linalg.svd(matrix, full_matrices=False)
+    np.testing.assert_allclose(found.values, s[:4], rtol=1e-6)
+    left = u[:, :4] * np.where(u[:, :4].sum(0) < 0, -1, 1) * s[:4]
+    got = {r["id"]: r["reduced"] for r in found.rows.collect()}
+    assert set(got) == {r[0] for r in rows} and max(np.abs(left[int(i[1:])] - v).max() for i, v in got.items()) < 1e-2
+    assert len(paths) > 4 and not any(os.path.exists(p.removeprefix("file:")) for p in paths)
+
+
+def test_starting_vectors_equal_their_columns(spark):
+    terms = spark.createDataFrame([("a",), ("perro",), ("ñandú",), ("",)], "term string").select(
+        F.xxhash64("term").alias("h"), F.array(*[decompose._start(i) for i in range(9)]).alias("v")).collect()
+    assert np.array_equal(decompose._starts(np.array([r["h"] for r in terms]), 9), np.array([r["v"] for r in terms]))
+
+
+def test_rows_of_frequent_keys_are_not_shuffled(spark, monkeypatch):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 4), ("b", 5), ("c", 6), (None, 7)], "term string, n long")
+    small = df.filter("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("rows"))
+    whole = sorted(lookup.attach_frequent(df, small, "term", "rows").collect())
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 1)
+    found = lookup.attach_frequent(df, small, "term", "rows")
+    assert sorted(found.collect()) == whole == [("a", i, 3) for i in (1, 2, 3)] + [("b", 4, 2), ("b", 5, 2), ("c", 6, 1)]
+    assert "Union" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_words_are_counted_where_their_text_is(spark, monkeypatch):
     plans, write = [], recommend.written
     monkeypatch.setattr(recommend, "written", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
