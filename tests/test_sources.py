@@ -178,3 +178,25 @@ def test_ingest_batch_deals_its_files_without_a_task_for_each(spark, tmp_path, m
                      "files": 5, "read_files": 4, "unread_files": 1}
     parts = [p for p in pathlib.Path(folders[0]).rglob("*.csv") if "broken" not in str(p)]
     assert len(parts) > 4
+
+
+def test_compressed_offer_files_are_read_like_plain_ones(spark, tmp_path):
+    rows = [tuple(f"{c} {i}, ñ" for c in RAW_OFFERS.names) for i in range(3)]
+    df = spark.createDataFrame(rows, RAW_OFFERS)
+    df.filter("seller = 'seller 0, ñ'").write.csv(str(tmp_path / "plain"), header=True, encoding="ISO-8859-1", escape='"')
+    df.filter("seller <> 'seller 0, ñ'").write.csv(str(tmp_path / "small"), header=True, sep=";", escape='"', compression="gzip")
+    df.select("store").write.csv(str(tmp_path / "broken"), header=True, compression="gzip")
+    found, bad = delimited.read_offers_csv(spark, f"{tmp_path}/*")
+    assert sorted(tuple(r[c] for c in RAW_OFFERS.names) for r in found.collect()) == rows
+    assert all("/broken/" in r["file"] for r in bad.collect()) and not bad.isEmpty()
+
+
+def test_offer_files_take_less_disk_than_their_text(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "offers")
+    monkeypatch.setattr(source_queries, "scratch_path", lambda _, name: f"{folder}/{name}")
+    text = ["some text of an offer, and its price"] * 13
+    raw = spark.range(2000).select(*[F.lit(v).alias(c) for c, v in zip(RAW_OFFERS.names, text)])
+    monkeypatch.setattr(source_queries, "_raw_offers", lambda *args: raw)
+    rows, _ = delimited.read_offers_csv(spark, source_queries._write_dialects(spark, ""))
+    assert rows.count() == 2000
+    assert sum(p.stat().st_size for p in (tmp_path / "offers").rglob("part-*")) < 2000 * len(",".join(text)) / 10

@@ -15,8 +15,11 @@ CORRUPT = "corrupt_record"
 # Fixed values: (separator, encoding) in the order of trial.
 DIALECTS = ((",", "ISO-8859-1"), (";", "UTF-8"))
 
+# Plain and compressed files.
+PATTERN = "*.csv{,.gz}"
 
-def file_dialects(spark: SparkSession, folder: str, columns: int = len(RAW_OFFERS), pattern: str = "*.csv") -> DataFrame:
+
+def file_dialects(spark: SparkSession, folder: str, columns: int = len(RAW_OFFERS), pattern: str = PATTERN) -> DataFrame:
     """``(file, separator, error)``: the first dialect whose separator splits the header as expected.
 
     The listing reads no content; the header is the first line of each file's first block.
@@ -32,7 +35,7 @@ def file_dialects(spark: SparkSession, folder: str, columns: int = len(RAW_OFFER
     return found.select("file", "separator", F.when(F.col("separator").isNull(), message).alias("error"))
 
 
-def read_offers_csv(spark: SparkSession, folder: str, schema: StructType = RAW_OFFERS, pattern: str = "*.csv") -> tuple[DataFrame, DataFrame]:
+def read_offers_csv(spark: SparkSession, folder: str, schema: StructType = RAW_OFFERS, pattern: str = PATTERN) -> tuple[DataFrame, DataFrame]:
     """Rows of all readable files with their file name, and the report of unreadable files.
 
     The folder is scanned once per dialect; each scan keeps the files of its dialect by a join on
