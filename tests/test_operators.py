@@ -381,6 +381,53 @@ def test_topic_chunks_stay_small():
     assert max(len(c) for _, c in chunks) <= 256 and sum(c.sum() for _, c in chunks) == 1000
 
 
+def _plain_settle(counts, other, prior):
+    """All topics in all steps."""
+    weights = prior + counts.sum(1, keepdims=True) * np.full((1, other.shape[1]), 1.0 / other.shape[1])
+    moving = np.arange(len(counts))
+    for _ in range(lda.STEPS):
+        held = lda.exp_digamma(weights[moving])
+        new = prior + held * ((counts[moving] / np.maximum(held @ other.T, 1e-100)) @ other)
+        change = np.abs(new - weights[moving]).mean(1)
+        weights[moving] = new
+        moving = moving[change > lda.REST]
+    held = lda.exp_digamma(weights)
+    return weights, (counts / np.maximum(held @ other.T, 1e-100)).T @ held
+
+
+@pytest.mark.parametrize("own_sum", [True, False])
+def test_topics_that_give_nothing_are_left_out_of_the_steps(own_sum, monkeypatch):
+    rng = np.random.default_rng(2)
+    counts = rng.poisson(rng.gamma(0.3, 3, (90, 40))).astype(float)
+    counts[5] = 0
+    other = rng.dirichlet(np.full(40, 0.1), 125).T + 1e-12
+    widths, narrowed = [], lda._narrowed
+    monkeypatch.setattr(lda, "_narrowed", lambda *args: widths.append((args[1][args[2]] > 1 / 125).sum(1).mean()) or narrowed(*args))
+    found, expected = lda._settle(counts, other, 1 / 125, own_sum), _plain_settle(counts, other, 1 / 125)
+    assert widths and min(widths) < 40  # of 125
+    for a, b in zip(found, expected):
+        np.testing.assert_allclose(a, b, rtol=1e-9, atol=1e-9)
+
+
+def test_a_topic_that_comes_back_takes_part_again(monkeypatch):
+    """A topic that was left out too early is found by the last look at all topics."""
+    rng = np.random.default_rng(4)
+    counts, other = rng.poisson(2.0, (20, 12)).astype(float), rng.dirichlet(np.full(12, 0.3), 6).T + 1e-9
+    narrowed = lda._narrowed
+
+    def forgets(counts, weights, rows, *rest):
+        weights[rows, weights[rows].argmax(1)] = 1 / 6
+        return narrowed(counts, weights, rows, *rest)
+
+    monkeypatch.setattr(lda, "_narrowed", forgets)
+    monkeypatch.setattr(lda, "REST", 1e-9)
+    monkeypatch.setattr(lda, "STEPS", 3000)
+    weights = lda._settle(counts, other, 1 / 6, True)[0]
+    held = lda.exp_digamma(weights)
+    again = 1 / 6 + held * ((counts / (held @ other.T)) @ other)
+    assert (weights > 1 / 6).any(1).all() and np.abs(again - weights).max() < 1e-5
+
+
 def test_topic_model_keeps_the_larger_side_in_the_tasks(spark, monkeypatch):
     """Three documents and many terms: the driver's matrix has three rows."""
     shapes = []
