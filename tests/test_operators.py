@@ -575,3 +575,18 @@ def test_offers_are_evaluated_once_for_their_clusters(spark, monkeypatch):
     df = spark.range(40).selectExpr("id", "cast(id % 4 as double) a", "cast(id % 7 as double) b", "cast(id % 3 as string) c", "cast(id % 2 as string) d")
     assert features.cluster_products(df, ["a", "b"], ("c", "d"), k=3, restarts=2).select("cluster").distinct().count() == 3
     assert columns == [df.columns]
+
+
+def test_review_lists_are_made_from_one_pass_over_the_texts(spark, tmp_path, monkeypatch):
+    from vitrina.plans import model_queries
+    spark.createDataFrame([(1, "Gatos, perros; GATOS", "es", "s"), (2, None, "es", "s")], "doc_id long, text string, lang string, source string").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    calls, lists, terms = [], [], model_queries._terms
+    monkeypatch.setattr(model_queries, "_terms", lambda *args: calls.append(args) or terms(*args))
+    monkeypatch.setattr(model_queries.reviews, "score_reviews", lambda rows, key, product, text, valences, emotions, *models: lists.append(
+        (valences.collect(), emotions.collect())) or rows.withColumn("comment_clean", F.col("text")))
+    model_queries.query.__globals__["QUERIES"]["score_reviews"](spark, str(tmp_path))
+    assert len(calls) == 1
+    valences, emotions = ({r["term"]: r[1] for r in found} for found in lists[0])
+    assert valences == {t: float((ord(t[0]) + len(t)) % 9 - 4) for t in ("gatos", "perros")}
+    assert emotions == {t: model_queries.EMOTIONS[ord("s") % 8] for t in ("gatos", "perros")}
